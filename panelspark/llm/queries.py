@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from panelspark.llm.bpe_codec import op6_bpe_codec
+from panelspark.llm.jaccard_join import op7_ngram_jaccard_join
 from panelspark.llm.language_id import op1_language_id
 from panelspark.llm.packing import op9_packing
 from panelspark.llm.quality_classifier import op8_quality_classifier
 from panelspark.llm.quality_rules import op5_quality_rules
 from panelspark.llm.token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_quality_rules, op6_bpe_codec, op8_quality_classifier, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_quality_rules, op6_bpe_codec, op7_ngram_jaccard_join, op8_quality_classifier, op9_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
