@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import rank_share
-from panelspark.operators import asof, features, performance, quality
+from panelspark.functions.columns import correlation, rank_share
+from panelspark.operators import asof, audit, features, performance, portfolio, quality
 from panelspark.plans.panel import build_panel
 from panelspark.sources import views as v
 from panelspark.streaming.upsert import merged
@@ -212,7 +212,7 @@ def m17(s, d):
 
 
 @query("w44_daily_rank_ic", "trade_date n", "ic",
-       """SELECT trade_date, count(*) AS n, CASE WHEN count(*) >= 10 THEN corr(a, b) END AS ic FROM (SELECT *, CASE WHEN f IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY f NULLS LAST) + (count(f) OVER (PARTITION BY trade_date, f) - 1) / 2.0::DOUBLE END AS a,
+       """SELECT trade_date, count(*) AS n, CASE WHEN count(*) >= 10 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM (SELECT *, CASE WHEN f IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY f NULLS LAST) + (count(f) OVER (PARTITION BY trade_date, f) - 1) / 2.0::DOUBLE END AS a,
        CASE WHEN t IS NOT NULL THEN rank() OVER (PARTITION BY trade_date ORDER BY t NULLS LAST) + (count(t) OVER (PARTITION BY trade_date, t) - 1) / 2.0::DOUBLE END AS b FROM (SELECT *, """ + _full("sum", "log_return", 21) + """ AS f,
        ln(lead(adj_close, 5) OVER (PARTITION BY ticker ORDER BY trade_date) / adj_close) AS t FROM px)) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY trade_date""", PRICE)
 def w44(s, d):
@@ -249,3 +249,177 @@ def p07(s, d):
 
 
 del ORACLE_SQL["p07_rebalanced"]
+
+
+def _returns(s, d) -> DataFrame:
+    return features.training_returns(v.prices(s, d)).where("returns IS NOT NULL")
+
+
+_R = PRICE + ", ret AS (SELECT ticker, trade_date, log_return AS returns FROM px WHERE abs(log_return) <= 1)"
+
+
+@query("w23_macro_features", "ticker trade_date", "excess_return real_return selic_trend_20d",
+       """SELECT ticker, trade_date, log_return - selic / 252 AS excess_return, log_return - ipca / 252 AS real_return, selic - lag(selic, 20) OVER (PARTITION BY ticker ORDER BY trade_date) AS selic_trend_20d
+       FROM px ASOF LEFT JOIN macro m ON px.trade_date >= m.reference_date""", PRICE)
+def w23(s, d):
+    p = features.price_features(v.prices(s, d))
+    return features.macro_features(asof.asof_dates(p, v.macro(s, d), "trade_date", "reference_date"))
+
+
+@query("w40_cash_price", "reference_date", "price", "SELECT reference_date, 100 * exp(sum(ln(1 + selic / 100)) OVER (ORDER BY reference_date)) AS price FROM macro")
+def w40(s, d):
+    return performance.cash_price(v.macro(s, d))
+
+
+@query("w46_rolling_sharpe", "strategy date", "sharpe", "SELECT strategy, date, CASE WHEN count(r) OVER w = 63 THEN avg(r) OVER w / (stddev_pop(r) OVER w + 1e-12::DOUBLE) * sqrt(252) END AS sharpe FROM m WINDOW w AS (PARTITION BY strategy ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)", _M)
+def w46(s, d):
+    return performance.rolling_sharpe(_market(s, d), 63)
+
+
+@query("w48_stale_prices", "ticker date", "value",
+       """SELECT ticker, trade_date AS date, run::DOUBLE AS value FROM (SELECT *, sum(same) OVER (PARTITION BY ticker, island) AS run FROM (SELECT *, sum(1 - same) OVER (PARTITION BY ticker ORDER BY trade_date) AS island FROM (
+       SELECT *, coalesce(close = lag(close) OVER (PARTITION BY ticker ORDER BY trade_date) AND volume > 0, false)::INT AS same FROM flat))) WHERE same = 1 AND run >= 5""",
+       "flat AS (SELECT ticker, trade_date, floor(close / 20000) AS close, volume FROM prices)")
+def w48(s, d):
+    return quality.stale_prices(v.prices(s, d).withColumn("close", F.floor(F.col("close") / 20000).cast("double")))
+
+
+@query("w51_return_to_go", "strategy date", "to_go",
+       "SELECT strategy, date, sum(r * pow(0.99::DOUBLE, k)) OVER (PARTITION BY strategy ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / pow(0.99::DOUBLE, k) AS to_go FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS k FROM m)", _M)
+def w51(s, d):
+    return performance.return_to_go(_market(s, d), 0.99)
+
+
+@query("a06_fences", "ticker n_low n_high", "q1 q3",
+       "SELECT ticker, q1, q3, count(*) FILTER (adj_close < q1 - 0.75 * (q3 - q1)) AS n_low, count(*) FILTER (adj_close > q3 + 0.75 * (q3 - q1)) AS n_high FROM prices JOIN (SELECT ticker, quantile_cont(adj_close, 0.25) AS q1, quantile_cont(adj_close, 0.75) AS q3 FROM prices GROUP BY 1) USING (ticker) GROUP BY ALL")
+def a06(s, d):
+    return audit.fences(v.prices(s, d), "adj_close", width=0.75)
+
+
+@query("a10_frozen_share", "n_groups n_frozen", "share",
+       "SELECT count(*) AS n_groups, count(*) FILTER (k = 1) AS n_frozen, avg((k = 1)::INT) AS share FROM (SELECT count(DISTINCT roe) AS k FROM prices p ASOF JOIN fundamentals f ON p.ticker = f.ticker AND p.trade_date >= f.reference_date GROUP BY p.ticker, f.reference_date HAVING count(*) >= 5)")
+def a10(s, d):
+    panel_rows = asof.asof_join(v.prices(s, d), v.fundamentals(s, d), ["ticker"], "trade_date", "reference_date").where("reference_date IS NOT NULL")
+    return audit.frozen_share(panel_rows, "roe", ["ticker", "reference_date"])
+
+
+@query("a11_month_counts", "ticker month n", "",
+       """SELECT ticker, month, coalesce(n, 0) AS n FROM (SELECT ticker, unnest(generate_series(min(trade_date), max(trade_date), INTERVAL 1 MONTH))::DATE AS month FROM (SELECT ticker, date_trunc('month', trade_date) AS trade_date FROM prices) GROUP BY ticker)
+       LEFT JOIN (SELECT ticker, date_trunc('month', trade_date)::DATE AS month, count(*) AS n FROM prices GROUP BY ALL) USING (ticker, month)""")
+def a11(s, d):
+    return audit.month_counts(v.prices(s, d))
+
+
+@query("a12_health", "n_rows n_keys first_date last_date n_repeated", "null_share",
+       "SELECT count(*) AS n_rows, count(DISTINCT ticker) AS n_keys, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) - count(DISTINCT ticker || '|' || trade_date) AS n_repeated, sum((log_return IS NULL)::INT) / count(*) / 3.0::DOUBLE AS null_share FROM px", PRICE)
+def a12(s, d):
+    return audit.health(features.price_features(v.prices(s, d)).select("ticker", "trade_date", "log_return"))
+
+
+@query("a16_correlations", "a b", "correlation", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS correlation FROM fundamentals" for a, b in (("roe", "net_margin"), ("roe", "current_ratio"), ("net_margin", "current_ratio"))))
+def a16(s, d):
+    return audit.correlations(v.fundamentals(s, d), ["roe", "net_margin", "current_ratio"])
+
+
+_WINDOWS = """wn AS (WITH RECURSIVE t AS (SELECT 0 AS window_id, min(trade_date) AS a, max(trade_date) AS z, (min(trade_date) + INTERVAL 2 YEAR)::DATE AS test_start FROM prices
+    UNION ALL SELECT window_id + 1, a, z, (test_start + INTERVAL 1 YEAR + INTERVAL 1 DAY)::DATE FROM t WHERE test_start + INTERVAL 1 YEAR <= z)
+    SELECT *, (test_start + INTERVAL 1 YEAR)::DATE AS test_end, test_start - 1 AS train_end FROM t WHERE test_start + INTERVAL 1 YEAR <= z)"""
+
+
+def _windows(s, d) -> DataFrame:
+    return portfolio.evaluation_windows(v.prices(s, d).agg(F.min("trade_date").alias("start"), F.max("trade_date").alias("end")), 2, 1)
+
+
+@query("p01_evaluation_windows", "window_id train_start train_end val_start test_start test_end", "", "SELECT window_id, a AS train_start, train_end, train_end - greatest(floor((train_end - a) * 0.1)::INT, 1) + 1 AS val_start, test_start, test_end FROM wn", _WINDOWS)
+def p01(s, d):
+    return _windows(s, d)
+
+
+@query("a18_scalers", "window_id feature n", "mean std",
+       " UNION ALL ".join(f"SELECT window_id, '{k}' AS feature, count({k}) AS n, avg({k}) AS mean, CASE WHEN stddev_pop({k}) < 1e-12 THEN 1 ELSE stddev_pop({k}) END AS std FROM px JOIN wn ON trade_date <= train_end WHERE {k} IS NOT NULL GROUP BY window_id" for k in ("adj_close", "log_return")), PRICE + ", " + _WINDOWS)
+def a18(s, d):
+    return audit.scalers(features.price_features(v.prices(s, d)), ["adj_close", "log_return"], _windows(s, d).withColumnRenamed("train_end", "cutoff"))
+
+
+@query("a25_top_and_other", "trade_date ticker", "volume", "SELECT trade_date, CASE WHEN k <= 3 THEN ticker ELSE 'Other' END AS ticker, sum(volume) AS volume FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY volume DESC, ticker) AS k FROM prices) GROUP BY ALL")
+def a25(s, d):
+    return audit.top_and_other(v.prices(s, d), "ticker", "volume", 3, "trade_date")
+
+
+@query("j06_difference", "side n", "max_abs",
+       """SELECT CASE WHEN b.x IS NULL THEN 'left' WHEN a.adj_close IS NULL THEN 'right' ELSE 'both' END AS side, count(*) AS n, max(abs(adj_close - x)) AS max_abs FROM (SELECT * FROM prices WHERE month(trade_date) <> 2) a
+       FULL JOIN (SELECT ticker, trade_date, high AS x FROM prices WHERE month(trade_date) <> 3) b USING (ticker, trade_date) GROUP BY 1""")
+def j06(s, d):
+    p = v.prices(s, d)
+    return audit.difference(p.where("month(trade_date) <> 2"), p.where("month(trade_date) <> 3").withColumn("adj_close", F.col("high")), ["ticker", "trade_date"], "adj_close")
+
+
+_IV = _R + """, iv AS (SELECT ticker, trade_date, coalesce(i / sum(i) OVER (PARTITION BY trade_date), 0) AS w FROM (SELECT *, CASE WHEN sd > 1e-8 THEN 1 / sd END AS i FROM (
+    SELECT *, stddev_pop(returns) OVER (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS sd FROM ret)))"""
+
+
+@query("p09_inverse_volatility", "ticker trade_date", "w", "SELECT * FROM iv", _IV)
+def p09(s, d):
+    return portfolio.inverse_volatility(_returns(s, d))
+
+
+@query("w49_turnover", "trade_date", "turnover",
+       """SELECT trade_date, sum(abs(x)) AS turnover FROM (SELECT i, ticker, sum(w) AS x FROM (SELECT i, ticker, w FROM iv JOIN dd USING (trade_date) UNION ALL SELECT i + 1, ticker, -w FROM iv JOIN dd USING (trade_date)) GROUP BY ALL) JOIN dd USING (i) GROUP BY trade_date""",
+       _IV + ", dd AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM iv))")
+def w49(s, d):
+    return portfolio.turnover(portfolio.inverse_volatility(_returns(s, d)).select("trade_date", "ticker", "w"))
+
+
+@query("m14_effective_positions", "", "n_effective", "SELECT avg(1 / greatest(h, 1e-12)) AS n_effective FROM (SELECT sum(w * w) AS h FROM iv GROUP BY trade_date)", _IV)
+def m14(s, d):
+    by_day = portfolio.inverse_volatility(_returns(s, d)).groupBy("trade_date").agg(F.sum(F.col("w") * F.col("w")).alias("h"))
+    return by_day.agg(F.avg(1 / F.greatest("h", F.lit(1e-12))).alias("n_effective"))
+
+
+_SOFT = _R + ", sm AS (SELECT ticker, trade_date, exp(4 * returns) / sum(exp(4 * returns)) OVER (PARTITION BY trade_date) AS w FROM ret)"
+
+
+@query("p05_softmax_weights", "ticker trade_date", "w", "SELECT * FROM sm", _SOFT)
+def p05(s, d):
+    return portfolio.softmax_weights(_returns(s, d), "returns", 0.25)
+
+
+@query("p06_capped_weights", "ticker trade_date", "w",
+       """SELECT ticker, trade_date, h / sum(h) OVER (PARTITION BY trade_date) AS w FROM (SELECT *, least(0.1::DOUBLE, w + coalesce(level, 1)) AS h FROM sm JOIN (SELECT trade_date, min_by(level, k) FILTER (w + level <= 0.1::DOUBLE + 1e-12::DOUBLE) AS level FROM (
+       SELECT *, (above - k * 0.1::DOUBLE) / (n - k) AS level FROM (SELECT *, row_number() OVER f - 1 AS k, sum(w) OVER f - w AS above, count(*) OVER (PARTITION BY trade_date) AS n FROM sm WINDOW f AS (PARTITION BY trade_date ORDER BY w DESC, ticker ROWS UNBOUNDED PRECEDING))) GROUP BY trade_date) USING (trade_date))""", _SOFT)
+def p06(s, d):
+    return portfolio.capped(portfolio.softmax_weights(_returns(s, d), "returns", 0.25), 0.1)
+
+
+@query("t04_top_share", "ticker trade_date", "w",
+       """SELECT ticker, trade_date, CASE WHEN place <= chosen THEN 1.0::DOUBLE / chosen ELSE 0 END AS w FROM (SELECT *, CASE WHEN greatest(floor(n * 0.2::DOUBLE), 1) < 3 THEN n ELSE greatest(floor(n * 0.2::DOUBLE), 1) END AS chosen FROM (
+       SELECT *, count(*) OVER (PARTITION BY trade_date) AS n, row_number() OVER (PARTITION BY trade_date ORDER BY returns DESC, ticker) AS place FROM ret))""", _R)
+def t04(s, d):
+    return portfolio.top_share(_returns(s, d), "returns", least=3)
+
+
+@query("m16_attribution", "strategy", "carry market selection total mean_cash",
+       """SELECT 'america' AS strategy, exp(sum(ln(1 + 0.2::DOUBLE * rf))) - 1 AS carry, exp(sum(ln(1 + 0.8::DOUBLE * b))) - 1 AS market, exp(sum(ln(1 + a - 0.2::DOUBLE * rf - 0.8::DOUBLE * b))) - 1 AS selection, exp(sum(ln(1 + a))) - 1 AS total, 0.2::DOUBLE AS mean_cash
+       FROM (SELECT x.r AS a, y.r AS b, selic / 100 AS rf FROM m x JOIN m y USING (date) JOIN macro ON reference_date = date WHERE x.strategy = 'america' AND y.strategy = 'all')""", _M)
+def m16(s, d):
+    m = _market(s, d)
+    own, every = m.where("strategy = 'america'"), m.where("strategy = 'all'").select("date", F.col("r").alias("b"))
+    days = own.join(every, "date").join(v.macro(s, d).withColumnRenamed("reference_date", "date"), "date")
+    return portfolio.attribution(days.select("strategy", F.log1p("r").alias("agent_log"), F.lit(0.2).alias("cash_w"), F.log1p(F.col("selic") / 100).alias("selic_log"), F.log1p("b").alias("ew_log")))
+
+
+@query("a21_ic_summary", "n", "mean std t_naive t_apart",
+       """SELECT count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t_naive, avg(ic) FILTER (i % 5 = 0) / (stddev_samp(ic) FILTER (i % 5 = 0) / sqrt(count(*) FILTER (i % 5 = 0))) AS t_apart
+       FROM (SELECT *, row_number() OVER (ORDER BY trade_date) - 1 AS i FROM (SELECT trade_date, corr(adj_close, volume) AS ic FROM prices GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(adj_close) > 0 AND stddev_pop(volume) > 0))""")
+def a21(s, d):
+    daily = v.prices(s, d).groupBy("trade_date").agg(F.when(F.count("*") >= 3, correlation("adj_close", "volume")).alias("ic"))
+    return audit.ic_summary(daily, 5)
+
+
+@query("m09_probabilistic_sharpe", "strategy n", "psr", "SELECT 1", "")
+def m09(s, d):
+    """Without SQL: DuckDB has no normal distribution."""
+    return performance.probabilistic_sharpe(_market(s, d))
+
+
+del ORACLE_SQL["m09_probabilistic_sharpe"]

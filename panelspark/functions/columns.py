@@ -72,3 +72,10 @@ def z_score(x: Column, over) -> Column:
     """(x - mean) / sample deviation of the group; null if the deviation is 0 or undefined."""
     deviation = F.stddev_samp(x).over(over)
     return F.when(deviation > 0, (x - F.avg(x).over(over)) / deviation)
+
+
+def correlation(a, b) -> Column:
+    """Pearson's correlation over rows that have both, null where either doesn't vary (for which the built-in one fails)."""
+    a, b = (F.col(v) if isinstance(v, str) else v for v in (a, b))
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.columns import correlation
+
 c = F.col
 DAYS, TINY = 252, 1e-12
 
@@ -45,7 +49,7 @@ def hac_t(returns: DataFrame, lags: int = 21) -> DataFrame:
 
 
 def alpha_beta(pairs: DataFrame, y: str, x: str) -> DataFrame:
-    return pairs.agg(F.regr_slope(y, x).alias("beta"), F.regr_intercept(y, x).alias("alpha"), F.corr(y, x).alias("correlation"))
+    return pairs.agg(F.regr_slope(y, x).alias("beta"), F.regr_intercept(y, x).alias("alpha"), correlation(y, x).alias("correlation"))
 
 
 def daily_rank_ic(panel: DataFrame, feature: str, target: str, min_names: int = 10) -> DataFrame:
@@ -57,7 +61,7 @@ def daily_rank_ic(panel: DataFrame, feature: str, target: str, min_names: int =
         return F.when(c(x).isNotNull(), F.rank().over(day.orderBy(c(x).asc_nulls_last())) + (F.count(x).over(Window.partitionBy("trade_date", x)) - 1) / 2.0)
 
     both = panel.select("trade_date", rank(feature).alias("_f"), rank(target).alias("_t")).where("_f IS NOT NULL AND _t IS NOT NULL")
-    return both.groupBy("trade_date").agg(F.count("*").alias("n"), F.corr("_f", "_t").alias("ic")).withColumn("ic", F.when(c("n") >= min_names, c("ic")))
+    return both.groupBy("trade_date").agg(F.count("*").alias("n"), correlation("_f", "_t").alias("ic")).withColumn("ic", F.when(c("n") >= min_names, c("ic")))
 
 
 def forward_return(prices: DataFrame, days: int) -> DataFrame:
@@ -93,3 +97,37 @@ def rebalanced(returns: DataFrame, weights: DataFrame, every: int, cost: float)
     out = value.withColumn("gross", c("_V") / before - 1).join(moves, ["strategy", "_block"], "left")
     cost_now = F.when(c("_i") % every == 0, c("turnover") * cost).otherwise(0.0)
     return out.select("strategy", "date", "gross", cost_now.alias("cost"), (c("gross") - cost_now).alias("r"))
+
+
+def rolling_sharpe(returns: DataFrame, n: int) -> DataFrame:
+    """sharpe of the last n rows of each strategy, null until there are n."""
+    past = Window.partitionBy("strategy").orderBy("date").rowsBetween(-(n - 1), 0)
+    full = F.count("r").over(past) == n
+    return returns.withColumn("sharpe", F.when(full, F.avg("r").over(past) / (F.stddev_pop("r").over(past) + TINY) * math.sqrt(DAYS)))
+
+
+def return_to_go(returns: DataFrame, gamma: float) -> DataFrame:
+    """to_go: the sum of later returns, each discounted by gamma for each row between, the row's own included."""
+    by = Window.partitionBy("strategy").orderBy("date")
+    numbered = returns.withColumn("_k", F.row_number().over(by) - 1)
+    later = by.rowsBetween(0, Window.unboundedFollowing)
+    return numbered.withColumn("to_go", F.sum(c("r") * F.pow(F.lit(gamma), c("_k"))).over(later) / F.pow(F.lit(gamma), c("_k"))).drop("_k")
+
+
+def cash_price(rates: DataFrame, date: str = "reference_date", rate: str = "selic") -> DataFrame:
+    """price of cash: 100 compounded by each day's rate in percent; a row for each date."""
+    return rates.withColumn("price", 100 * F.exp(F.sum(F.log1p(c(rate) / 100)).over(Window.orderBy(date))))
+
+
+def probabilistic_sharpe(returns: DataFrame, benchmark: float = 0.0) -> DataFrame:
+    """(strategy, n, psr): probability that the daily Sharpe ratio exceeds the benchmark, by the moments of r; 0.5 below three
+    rows or without deviation. Only the strategies' moments, a row each, go through the normal distribution in Python."""
+
+    @F.pandas_udf("double")
+    def phi(z: pd.Series) -> pd.Series:
+        return z.map(NormalDist().cdf)
+
+    m = returns.groupBy("strategy").agg(F.count("r").alias("n"), F.try_divide(F.avg("r"), F.stddev_pop("r")).alias("s"), F.skewness("r").alias("g"), (F.kurtosis("r") + 3).alias("k"))
+    spread = 1 - c("g") * c("s") + (c("k") - 1) / 4 * c("s") * c("s")
+    z = F.when((c("n") >= 3) & (spread > 0), (c("s") - benchmark) * F.sqrt(c("n") - 1) / F.sqrt(spread))
+    return m.select("strategy", "n", phi(F.coalesce(z, F.lit(0.0))).alias("psr"))

@@ -6,7 +6,8 @@ from datetime import date, timedelta
 import pytest
 
 from panelspark import catalog
-from panelspark.operators import asof, features, performance, quality
+from panelspark.functions.columns import correlation
+from panelspark.operators import asof, audit, features, performance, portfolio, quality
 from panelspark.streaming.upsert import merged, stream_upsert
 from tests.oracle import compare
 
@@ -118,3 +119,64 @@ def test_upsert_twice_and_late_correction(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     assert compare(spark, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name], SF) == ""
+
+
+def _redistributed(w, cap):
+    """Caps a day's weights by repeated equal shares, as a loop."""
+    w = dict(w)
+    stocks = [t for t in w if t != "CASH"]
+    for _ in range(len(stocks) + 1):
+        over = {t: w[t] - cap for t in stocks if w[t] > cap}
+        if not over:
+            break
+        w.update(dict.fromkeys(over, cap))
+        room = [t for t in stocks if w[t] < cap - 1e-9]
+        for t in room:
+            w[t] += sum(over.values()) / len(room)
+    total = sum(min(x, cap) if t != "CASH" else x for t, x in w.items())
+    return {t: (min(x, cap) if t != "CASH" else x) / total for t, x in w.items()}
+
+
+@pytest.mark.parametrize("w", [
+    {"A": 0.5, "B": 0.2, "C": 0.12, "D": 0.1, "CASH": 0.08}, {"A": 0.2, "B": 0.2, "C": 0.2, "D": 0.2, "E": 0.2}, {"A": 0.9, "B": 0.1},
+    {"A": 0.24, "B": 0.24, "C": 0.24, "D": 0.24, "E": 0.04, "F": 0.0}, {"CASH": 1.0},
+])
+def test_cap_equals_repeated_redistribution(spark, w):
+    df = spark.createDataFrame([(DAY, t, x) for t, x in w.items()], "trade_date date, ticker string, w double")
+    got = {r["ticker"]: r["w"] for r in portfolio.capped(df, 0.25).collect()}
+    assert got == pytest.approx(_redistributed(w, 0.25), abs=1e-9)
+
+
+def test_turnover_counts_names_that_enter_and_leave(spark):
+    rows = [(DAY, "A", 1.0), (DAY + timedelta(3), "B", 0.5), (DAY + timedelta(3), "A", 0.5), (DAY + timedelta(4), "B", 1.0)]
+    out = portfolio.turnover(spark.createDataFrame(rows, "trade_date date, ticker string, w double")).orderBy("trade_date").collect()
+    assert [r["turnover"] for r in out] == [1.0, 1.0, 1.0]
+
+
+def test_softmax_gives_rows_without_a_score_nothing(spark):
+    df = spark.createDataFrame([(DAY, "A", 1.0), (DAY, "B", 1.0), (DAY, "C", None)], "trade_date date, ticker string, z double")
+    assert {r["ticker"]: r["w"] for r in portfolio.softmax_weights(df, "z").collect()} == {"A": 0.5, "B": 0.5, "C": 0.0}
+
+
+def test_correlation_is_null_where_a_side_is_constant(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 4.0)], "a double, b double")
+    assert df.agg(correlation("a", "b").alias("x")).first()["x"] is None
+
+
+def test_attribution_adds_up_on_one_day(spark):
+    df = spark.createDataFrame([("s", math.log(1.1), 0.5, math.log(1.02), math.log(1.04))], "strategy string, agent_log double, cash_w double, selic_log double, ew_log double")
+    r = portfolio.attribution(df).first()
+    assert (r["carry"], r["market"], r["selection"], r["total"]) == pytest.approx((0.01, 0.02, 0.07, 0.1))
+
+
+def test_probabilistic_sharpe_of_symmetric_returns(spark):
+    rows = [("even", i, x) for i, x in enumerate([0.01, -0.01, 0.01, -0.01])] + [("one", 0, 0.1)]
+    got = {r["strategy"]: r["psr"] for r in performance.probabilistic_sharpe(spark.createDataFrame(rows, "strategy string, date int, r double")).collect()}
+    assert got == {"even": 0.5, "one": 0.5}
+
+
+def test_reports_of_an_empty_table(spark):
+    none = prices(spark, A=[100]).where("false")
+    assert audit.health(none).first()["n_rows"] == 0
+    assert audit.frozen_share(none, "close", ["ticker"]).first()["n_groups"] == 0
+    assert audit.month_counts(none).count() == audit.fences(none, "close").count() == audit.difference(none, none, ["ticker"], "close").count() == 0
