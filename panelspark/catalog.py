@@ -423,3 +423,21 @@ def m09(s, d):
 
 
 del ORACLE_SQL["m09_probabilistic_sharpe"]
+
+
+_JOINED = """gf AS (SELECT *, net_revenue / nullif(lag(net_revenue, 4) OVER w, 0) - 1 AS rg, net_income / nullif(lag(net_income, 4) OVER w, 0) - 1 AS eg FROM fundamentals WINDOW w AS (PARTITION BY ticker ORDER BY reference_date)),
+    jf AS (SELECT p.ticker, p.trade_date, f.* EXCLUDE (ticker), selic FROM prices p ASOF LEFT JOIN gf f ON p.ticker = f.ticker AND p.trade_date >= f.reference_date ASOF LEFT JOIN macro m ON p.trade_date >= m.reference_date)"""
+
+
+@query("w29_valuation_ratios", "ticker trade_date", "revenue_per_earning ebitda_margin peg_ratio pvp_to_roe_ratio earnings_yield earnings_yield_vs_selic revenue_vs_earnings_growth_delta",
+       """SELECT ticker, trade_date, net_revenue / (net_income + 1e-8::DOUBLE) AS revenue_per_earning, ebitda / (net_revenue + 1e-8::DOUBLE) AS ebitda_margin, pl / (eg * 100 + 1e-8::DOUBLE) AS peg_ratio, pvp / (roe + 1e-8::DOUBLE) AS pvp_to_roe_ratio,
+       1 / (pl + 1e-8::DOUBLE) AS earnings_yield, 1 / (pl + 1e-8::DOUBLE) - selic / 100 AS earnings_yield_vs_selic, rg - eg AS revenue_vs_earnings_growth_delta FROM jf""", _JOINED)
+def w29(s, d):
+    p = asof.asof_join(v.prices(s, d), features.filing_features(v.fundamentals(s, d)), ["ticker"], "trade_date", "reference_date")
+    return features.valuation_ratios(asof.asof_dates(p, v.macro(s, d).withColumnRenamed("reference_date", "macro_date"), "trade_date", "macro_date"))
+
+
+@query("w38_filing_trends", "ticker trade_date", "roe_trend net_margin_trend debt_equity_trend roa_trend",
+       "SELECT ticker, trade_date, " + ", ".join(f"{k} - lag({k}, 4) OVER w AS {k}_trend" for k in ("roe", "net_margin", "debt_equity", "roa")) + " FROM jf WINDOW w AS (PARTITION BY ticker ORDER BY reference_date NULLS LAST, trade_date)", _JOINED)
+def w38(s, d):
+    return features.filing_trends(asof.asof_join(v.prices(s, d), v.fundamentals(s, d), ["ticker"], "trade_date", "reference_date"))

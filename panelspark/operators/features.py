@@ -85,3 +85,19 @@ def cross_section(panel: DataFrame) -> DataFrame:
 def history_ranks(panel: DataFrame) -> DataFrame:
     """Share of the ticker's whole history at or below (volatility, with average ties), and of the last rows (price, drawdown)."""
     return panel.withColumns({"volatility_20d_percentile": rank_share(c("volatility_20d"), ["ticker"]), "price_percentile_5y": rolling_share(c("adj_close"), 1260), "drawdown_percentile": rolling_share(c("drawdown"), 252)})
+
+
+def valuation_ratios(panel: DataFrame, tiny: float = 1e-8) -> DataFrame:
+    """Ratios of earnings, book and growth to each other and to the day's rate; tiny is added to denominators."""
+    over = lambda a, b: F.try_divide(c(a), b + tiny)
+    out = panel.withColumns({
+        "revenue_per_earning": over("net_revenue", c("net_income")), "ebitda_margin": over("ebitda", c("net_revenue")), "peg_ratio": over("pl", c("earnings_growth_yoy") * 100),
+        "pvp_to_roe_ratio": over("pvp", c("roe")), "earnings_yield": F.try_divide(F.lit(1.0), c("pl") + tiny), "revenue_vs_earnings_growth_delta": c("revenue_growth_yoy") - c("earnings_growth_yoy"),
+    })
+    return out.withColumn("earnings_yield_vs_selic", c("earnings_yield") - c("selic") / 100)
+
+
+def filing_trends(panel: DataFrame, columns: tuple[str, ...] = ("roe", "net_margin", "debt_equity", "roa"), rows: int = 4) -> DataFrame:
+    """{column}_trend: change over so many rows of the ticker, in order of filing (rows without one last) and day."""
+    by = Window.partitionBy("ticker").orderBy(c("reference_date").asc_nulls_last(), "trade_date")
+    return panel.withColumns({f"{k}_trend": c(k) - F.lag(k, rows).over(by) for k in columns})
