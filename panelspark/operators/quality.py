@@ -69,3 +69,38 @@ def price_gate(prices: DataFrame) -> DataFrame:
     )
     long = one.unpivot([], one.columns, "check", "n_bad")
     return long.select("check", F.when(c("check").isin("close_not_positive", "volume_negative"), "error").otherwise("warning").alias("severity"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
+
+
+def panel_findings(panel: DataFrame, critical: list[str], features: list[str]) -> DataFrame:
+    """Rows that lack a critical column (value: how many), that use a later filing (value: days, negative), and tickers in
+    which one of the features has two values or more that are all the same (no date; value: the least such one)."""
+    missing = sum((c(k).isNull().cast("int") for k in critical), F.lit(0))
+    lacking = _finding(panel.withColumn("_n", missing).where("_n > 0"), "nan_critical", c("_n"))
+    ahead = F.datediff("trade_date", "reference_date")
+    early = _finding(panel.withColumn("_d", ahead).where("_d < 0"), "lookahead", c("_d"))
+    long = panel.select("ticker", *[c(k).cast("double").alias(k) for k in features]).unpivot(["ticker"], features, "feature", "x")
+    flat = long.groupBy("ticker", "feature").agg(F.count("x").alias("_n"), F.min("x").alias("_a"), F.max("x").alias("_b")).where("_n > 1 AND _a = _b").groupBy("ticker").agg(F.min("_a").alias("_a"))
+    constant = flat.select("ticker", F.lit(None).cast("date").alias("date"), F.lit("zero_variance").alias("check"), c("_a").alias("value"))
+    return lacking.unionByName(early).unionByName(constant)
+
+
+def panel_gate(panel: DataFrame, critical: list[str]) -> DataFrame:
+    """(check, value, passed): span in years, tickers with 252 rows, repeated keys, rows that use a later filing, share of
+    nulls in critical columns after a filing, mean log return, sectors, and the largest sector's share of tickers. What can't
+    be taken of an empty panel is null and not passed. The panel is reduced to a row a ticker first."""
+    nulls = sum((c(k).isNull().cast("int") for k in critical), F.lit(0)) / F.lit(float(max(len(critical), 1)))
+    filed = c("reference_date").isNotNull()
+    day = panel.groupBy("ticker", "trade_date").agg(
+        F.count("*").alias("_n"), F.max("sector").alias("sector"), F.sum((c("reference_date") > c("trade_date")).cast("long")).alias("_ahead"), F.sum(F.when(filed, nulls)).alias("_nulls"),
+        F.sum(filed.cast("long")).alias("_filed"), F.sum("log_return").alias("_r"), F.count("log_return").alias("_k"),
+    )
+    one = day.groupBy("ticker").agg(F.min("trade_date").alias("_a"), F.max("trade_date").alias("_b"), F.max("sector").alias("sector"), F.sum("_n").alias("_rows"), F.sum(c("_n") - 1).alias("_dup"), *[F.sum(k).alias(k) for k in ("_ahead", "_nulls", "_filed", "_r", "_k")])
+    sector = one.where("sector IS NOT NULL").groupBy("sector").agg(F.count("*").alias("_t")).agg(F.count("*").cast("double").alias("sectors"), F.try_divide(F.max("_t"), F.sum("_t")).alias("largest_sector"))
+    row = one.agg(
+        (F.datediff(F.max("_b"), F.min("_a")) / 365.25).alias("span_years"), F.sum((c("_rows") >= 252).cast("double")).alias("long_tickers"), F.sum("_dup").cast("double").alias("duplicate_keys"), F.coalesce(F.sum("_ahead"), F.lit(0)).cast("double").alias("look_ahead"),
+        F.try_divide(F.sum("_nulls"), F.sum("_filed")).alias("null_after_filing"), F.try_divide(F.sum("_r"), F.sum("_k")).alias("mean_return"),
+    ).join(F.broadcast(sector))
+    v = c("value")
+    passed = F.when(c("check") == "span_years", v >= 2).when(c("check") == "long_tickers", v >= 20).when(c("check").isin("duplicate_keys", "look_ahead"), v == 0).when(c("check") == "null_after_filing", v < 0.1)
+    passed = passed.when(c("check") == "mean_return", F.abs(v) < 0.1).when(c("check") == "sectors", v >= 3).otherwise(v < 0.4)
+    return row.unpivot([], row.columns, "check", "value").select("check", "value", F.coalesce(passed, F.lit(False)).alias("passed"))
