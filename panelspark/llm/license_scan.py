@@ -29,6 +29,8 @@ TEMPLATES = {
 #: A line is a candidate if it holds one of these words.
 CUE = re.compile(r"licen[sc]|copyright|\(c\)|©|rights reserved|permission is|redistribut|spdx|free software|public domain", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+#: Spellings that count as the same word, as in public guidelines for matching licences.
+SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "organisation": "organization"}
 #: Templates that are tried word by word, best first; the least share of a template's words that a block must hold in
 #: order, and the most words of a block between them, as a share.
 TRIED, LEAST_HELD, MOST_BETWEEN = 3, 0.9, 0.35
@@ -46,7 +48,7 @@ def compressors() -> tuple[zstandard.ZstdCompressor, dict[str, zstandard.ZstdCom
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    return [SAME.get(w, w) for w in WORD.findall(text.lower())]
 
 
 @lru_cache(CACHE)
