@@ -148,3 +148,13 @@ def summary_of_windows(returns: DataFrame, by: str = "window_id") -> DataFrame:
     sharpe = F.avg("r") / (F.stddev_pop("r") + 1e-12) * F.sqrt(F.lit(252.0))
     each = returns.groupBy("strategy", by).agg(F.when(F.count("r") < 2, 0.0).otherwise(sharpe).alias("_s"))
     return each.groupBy("strategy").agg(F.count("*").alias("n_windows"), F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("std"), F.min("_s").alias("least"), F.max("_s").alias("most"))
+
+
+def random_portfolios(returns: DataFrame, runs: int = 200, seed: int = 0) -> DataFrame:
+    """(strategy, date, r) of `runs` portfolios with random weights each day: a name's weight is a hash of seed, run, day and
+    ticker over the day's sum, so a task that runs again draws the same. Rows are multiplied by runs inside a task and summed
+    there by run and day before anything is shuffled. Names without a return take no part."""
+    drawn = returns.where("returns IS NOT NULL").select("ticker", "trade_date", F.expm1("returns").alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("_run"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), c("_run").cast("string"), c("trade_date").cast("string"), "ticker")), 1, 8), 16, 10).cast("double") + 1
+    daily = drawn.withColumn("_u", u).groupBy("_run", "trade_date").agg((F.sum(c("_u") * c("_r")) / F.sum("_u")).alias("r"))
+    return daily.select(F.concat(F.lit("random"), c("_run").cast("string")).alias("strategy"), c("trade_date").alias("date"), "r")
