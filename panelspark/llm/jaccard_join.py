@@ -139,8 +139,8 @@ def heavy_tokens(profiles: DataFrame, bound: int = HEAVY) -> Heavy:
 
 def postings(docs: DataFrame, heavy) -> DataFrame:
     """(token, salt, n, key, pos): each set's prefix under the first order, once for each task. Heavy tokens' rows are dealt
-    over groups of about FANOUT by a salt; its values nest from token to token. pos is
-    the token's place in its set."""
+    over groups of about FANOUT by a salt from 1 on; its values nest from token to token. Rows that aren't dealt have salt 0.
+    pos is the token's place in its set."""
 
     def run(batches):
         order, seen = heavy.value, set()
@@ -161,7 +161,8 @@ def postings(docs: DataFrame, heavy) -> DataFrame:
                 if tokens:
                     n = [len(x) for x in tokens]
                     key, place = np.repeat(keys[at].view(np.int64), n), np.concatenate(places)
-                    salt = np.where(place < 0, 0, (key >> 20) & (salts[place] if len(salts) else 0))
+                    most = np.where(place < 0, 0, salts[place] if len(salts) else 0)
+                    salt = np.where(most > 0, 1 + ((key >> 20) & most), 0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(key), pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in n]))], ["token", "salt", "n", "key", "pos"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "token long, salt int, n int, key long, pos int")
@@ -169,7 +170,8 @@ def postings(docs: DataFrame, heavy) -> DataFrame:
 
 def shared(rows: DataFrame) -> DataFrame:
     """Of rows (token, salt, n, key, pos) those next to which, in their token's group by size, stands another set of a size that
-    could match; each once. Streams its partition in order and holds a row between batches."""
+    could match; each once. A dealt token's rows all stay, as the other set may be under any of its salts. Streams its partition
+    in order and holds a row between batches."""
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
     def run(batches):
@@ -187,13 +189,13 @@ def shared(rows: DataFrame) -> DataFrame:
             near = np.zeros(len(t), bool)
             near[0] = near_before
             near[1:] = (t[1:] == t[:-1]) & (s[1:] == s[:-1]) & (100 * n[:-1].astype(np.int64) >= PERCENT * n[1:].astype(np.int64))
-            some = near.copy()
+            some = near | (s > 0)
             some[:-1] |= near[1:]
             out = np.flatnonzero(some[:-1])
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(c[out], kind) for c, kind in zip(cols, kinds)], ["token", "salt", "n", "key", "pos"])
             held, near_before = [c[-1:] for c in cols], bool(near[-1])
-        if near_before:
+        if held and (near_before or held[1][0] > 0):
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(held, kinds)], ["token", "salt", "n", "key", "pos"])
 
     return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key").mapInArrow(run, "token long, salt int, n int, key long, pos int")

@@ -229,6 +229,22 @@ def test_jaccard_join(spark, docs, none, real):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("fanout", [1, 2])
+def test_jaccard_join_of_dealt_tokens(spark, monkeypatch, fanout):
+    """Near variants, some in many copies, of which every token is dealt over salts."""
+    rng, words = np.random.default_rng(5), [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(12):
+        text = list(rng.choice(words, 80))
+        for k in range(int(rng.integers(2, 9))):
+            near = list(text)
+            near[8 * k + 3] = f"Zz{k}"
+            rows += [(100_000 * c + 100 * g + k, " ".join(near)) for c in range(6)]
+    monkeypatch.setattr(jaccard_join, "FANOUT", fanout)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, F.expr("doc_id div 100000"))
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=repr) == brute_components(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
