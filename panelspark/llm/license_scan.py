@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import math
 import re
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,15 +29,14 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "All-rights-reserved": "All rights reserved.",
 }
-#: A line is a candidate if it holds one of these words.
+#: Words around these are candidates; every template holds one.
 CUE = re.compile(r"licen[sc]|copyright|\(c\)|©|rights reserved|permission is|redistribut|spdx|free software|public domain", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 #: Spellings that count as the same word, as in public guidelines for matching licences.
 SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "organisation": "organization"}
-#: Templates that are tried word by word, best first; the least share of a template's words that a block must hold in
-#: order, and the most words of a block between them, as a share.
-TRIED, LEAST_HELD, MOST_BETWEEN = 3, 0.9, 0.35
-#: Lines of at most so many characters are blocks; longer ones are cut at sentences, and pieces still longer by windows of this size that overlap by half.
+#: The least share of a template's words that a text must hold in order, and the most words of it between them, as a share.
+LEAST_HELD, MOST_BETWEEN = 0.9, 0.35
+#: Longest block, in characters, that a worker remembers.
 BLOCK = 600
 #: Blocks that a worker remembers.
 CACHE = 50_000
@@ -51,55 +53,84 @@ def words(text: str) -> list[str]:
     return [SAME.get(w, w) for w in WORD.findall(text.lower())]
 
 
-@lru_cache(CACHE)
-def classify(block: str) -> tuple[str, int, float, int, int, str] | None:
-    """(license, bytes saved, share of the template's words held, words missing, words more, the differences) of a block,
-    or None. Templates are ranked by how many bytes each, as a raw dictionary, takes off the compressed block."""
-    data = block.encode()
+@lru_cache(1)
+def wanted() -> list[tuple[str, list[str], Counter, set[str], int, int]]:
+    """(license, words, their counts, words that a notice can begin with, least words held, longest notice in words)."""
+    out = []
+    for name, text in TEMPLATES.items():
+        w = words(text)
+        least = math.ceil(LEAST_HELD * len(w))
+        out.append((name, w, Counter(w), set(w[: len(w) - least + 1]), least, len(w) + int(MOST_BETWEEN * len(w))))
+    return out
+
+
+def notices(block: str) -> list[tuple[str, int, float, int, int, str]]:
+    """(license, bytes saved, share of the template's words held, words missing, words more, the differences) of each notice
+    in a block, of every template that its wording confirms. Bytes saved are those that the template, as a raw dictionary,
+    takes off the compressed notice."""
+    at = [m.span() for m in WORD.finditer(block)]
+    have = [SAME.get(w, w) for w in (block[a:b].lower() for a, b in at)]
     plain, by_name = compressors()
-    size = len(plain.compress(data))
-    ranked = sorted(((size - len(c.compress(data)), name) for name, c in by_name.items()), key=lambda x: (-x[0], x[1]))
-    have, best = words(block), None
-    for saved, name in ranked[:TRIED]:
-        if saved <= 0:
-            break
-        want = words(TEMPLATES[name])
-        same = [m for m in difflib.SequenceMatcher(None, want, have, False).get_matching_blocks() if m.size]
-        held = sum(m.size for m in same)
-        first, last = (same[0].b, same[-1].b + same[-1].size) if same else (0, 0)
-        between = last - first - held
-        if held >= LEAST_HELD * len(want) and between <= MOST_BETWEEN * len(want):
-            taken = {i for m in same for i in range(m.a, m.a + m.size)}
-            used = {i for m in same for i in range(m.b, m.b + m.size)}
-            said = [f"-{w}" for i, w in enumerate(want) if i not in taken] + [f"+{have[i]}" for i in range(first, last) if i not in used]
-            found = (name, saved, held / len(want), len(want) - held, between, " ".join(said))
-            if best is None or (held, saved) > best[0]:
-                best = (held, saved), found
-    return best and best[1]
+    held_in_all, places, out = Counter(have), defaultdict(list), []
+    for i, w in enumerate(have):
+        places[w].append(i)
+    for name, want, counts, begins, least, span in wanted():
+        if sum(min(n, held_in_all[w]) for w, n in counts.items()) < least:
+            continue
+        passed = []
+        for i in sorted(i for w in begins for i in places.get(w, ())):
+            near = have[i : i + span]
+            if sum((counts & Counter(near)).values()) < least:
+                continue
+            same = [m for m in difflib.SequenceMatcher(None, want, near, False).get_matching_blocks() if m.size]
+            held, first, last = sum(m.size for m in same), same[0].b, same[-1].b + same[-1].size
+            between = last - first - held
+            if held >= least and between <= MOST_BETWEEN * len(want):
+                taken = {k for m in same for k in range(m.a, m.a + m.size)}
+                used = {k for m in same for k in range(m.b, m.b + m.size)}
+                missing, more = [w for k, w in enumerate(want) if k not in taken], [near[k] for k in range(first, last) if k not in used]
+                passed.append((len(missing) + between, i + first, i + last, held, between, " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in more)])))
+        chosen = []
+        for x in sorted(passed):
+            if all(x[2] <= y[1] or x[1] >= y[2] for y in chosen):
+                chosen.append(x)
+                data = block[at[x[1]][0] : at[x[2] - 1][1]].encode()
+                saved = len(plain.compress(data)) - len(by_name[name].compress(data))
+                out.append((name, saved, x[3] / len(want), len(want) - x[3], x[4], x[5]))
+    return out
+
+
+remembered = lru_cache(CACHE)(notices)
+
+
+def classify(block: str) -> list[tuple[str, int, float, int, int, str]]:
+    return remembered(block) if len(block) <= BLOCK else notices(block)
 
 
 def blocks(text: str):
-    """Candidate blocks: lines with a cue; long lines by sentences, long sentences by overlapping windows."""
-    if not CUE.search(text):
+    """Candidate blocks: the words around each cue as far as the longest notice reaches, across lines and sentences.
+    Blocks that overlap are one."""
+    cues = [m.span() for m in CUE.finditer(text)]
+    if not cues:
         return
-    for line in text.split("\n"):
-        if CUE.search(line):
-            for part in [line] if len(line) <= BLOCK else re.split(r"(?<=[.:;!?])\s+", line):
-                if len(part) <= BLOCK:
-                    if CUE.search(part):
-                        yield part.strip()
-                else:
-                    for at in range(0, len(part), BLOCK // 2):
-                        if CUE.search(part[at : at + BLOCK]):
-                            yield part[at : at + BLOCK].strip()
+    far, at = max(x[-1] for x in wanted()), [m.span() for m in WORD.finditer(text)]
+    starts, ends, spans = [a for a, _ in at], [b for _, b in at], []
+    for a, b in cues:
+        lo, hi = max(0, bisect.bisect_right(ends, a) - far), min(len(at), bisect.bisect_left(starts, b) + far)
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = hi
+        elif lo < hi:
+            spans.append([lo, hi])
+    for lo, hi in spans:
+        yield text[starts[lo] : ends[hi - 1]]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_blocks (candidate blocks), n_found, licenses (names, sorted, once each), best
+    """A row for each document: doc_id, n_blocks (candidate blocks), n_found (notices), licenses (names, sorted, once each), best
     (that of the most bytes saved, null if none), saved, held, missing, more and differences of the best.
 
     A null or empty text has no blocks. Repeated rows give repeated rows, an empty table none. Whole texts are read; only
-    blocks with a cue are compressed, each distinct one once a worker.
+    blocks around a cue are compared, and only notices are compressed.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_blocks", pa.int64()), ("n_found", pa.int64()), ("licenses", pa.list_(pa.string())), ("best", pa.string()), ("saved", pa.int64()), ("held", pa.float64()), ("missing", pa.int64()), ("more", pa.int64()), ("differences", pa.string())])
 
@@ -108,7 +139,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
                 every = list(blocks(text))
-                found = [x for b in every if (x := classify(b))]
+                found = [x for b in every for x in classify(b)]
                 best = min(found, key=lambda x: (-x[1], x[0])) if found else (None,) * 6
                 rows.append(dict(zip(schema.names, (doc_id, len(every), len(found), sorted({x[0] for x in found}), *best))))
             yield pa.RecordBatch.from_pylist(rows, schema)

@@ -286,6 +286,19 @@ def test_license_scan(spark, docs, none):
     assert all(license_scan.classify(t) for t in license_scan.TEMPLATES.values())
 
 
+def licenses_in(text):
+    return {x[0] for b in license_scan.blocks(text) for x in license_scan.classify(b)}
+
+
+@pytest.mark.parametrize("name", license_scan.TEMPLATES)
+def test_license_in_any_layout(name):
+    import textwrap
+
+    notice, other = license_scan.TEMPLATES[name], "some prose of the kind that stands around it; and more of it. " * 20
+    assert name in licenses_in("\n".join("# " + x for x in textwrap.wrap(notice, 40)))
+    assert name in licenses_in(other + notice + " " + other) and name in licenses_in(other.replace(". ", ".\n") + textwrap.fill(notice, 30) + "\n" + other)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
