@@ -28,7 +28,17 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "All-rights-reserved": "All rights reserved.",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "MIT-or-Apache-2.0": "Apache License, Version 2.0 or the MIT License",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    **{f"{k}-{n}": f"This work is licensed under the GNU {name} General Public License, version {n[0] if n.endswith('.0') else n}." for k, name, n in (("LGPL", "Lesser", "2.1"), ("LGPL", "Lesser", "3.0"), ("AGPL", "Affero", "3.0"))},
 }
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _k, _name in CC.items():
+    for _v, _form in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES.setdefault(f"CC-{_k}-{_v}" + ("-long" if (_k, _v) == ("BY-NC", "4.0") else ""), f"This work is licensed under a Creative Commons {_name} {_v} {_form} License.")
+        TEMPLATES.setdefault(f"CC-{_k}-{_v}" + ("" if (_k, _v) == ("BY-NC", "4.0") else "-short"), f"Licensed under CC {_k} {_v}.")
 #: Words around these are candidates; every template holds one.
 CUE = re.compile(r"licen[sc]|copyright|\(c\)|©|rights reserved|permission is|redistribut|spdx|free software|public domain", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
@@ -36,6 +46,8 @@ WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "organisation": "organization"}
 #: The least share of a template's words that a text must hold in order, and the most words of it between them, as a share.
 LEAST_HELD, MOST_BETWEEN = 0.9, 0.35
+#: Words that tell licences apart: a difference that touches one, or a number, is another licence.
+TELLING = {"not", "by", "nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike", "lesser", "library", "affero", "apache", "mit", "mozilla", "cc", "gnu"}
 #: Longest block, in characters, that a worker remembers.
 BLOCK = 600
 #: Blocks that a worker remembers.
@@ -64,6 +76,10 @@ def wanted() -> list[tuple[str, list[str], Counter, set[str], int, int]]:
     return out
 
 
+def telling(word: str) -> bool:
+    return word in TELLING or word.lstrip("v")[:1].isdigit()
+
+
 def notices(block: str) -> list[tuple[str, int, float, int, int, str]]:
     """(license, bytes saved, share of the template's words held, words missing, words more, the differences) of each notice
     in a block, of every template that its wording confirms. Bytes saved are those that the template, as a raw dictionary,
@@ -89,7 +105,8 @@ def notices(block: str) -> list[tuple[str, int, float, int, int, str]]:
                 taken = {k for m in same for k in range(m.a, m.a + m.size)}
                 used = {k for m in same for k in range(m.b, m.b + m.size)}
                 missing, more = [w for k, w in enumerate(want) if k not in taken], [near[k] for k in range(first, last) if k not in used]
-                passed.append((len(missing) + between, i + first, i + last, held, between, " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in more)])))
+                if not any(map(telling, missing + more)):
+                    passed.append((len(missing) + between, i + first, i + last, held, between, " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in more)])))
         chosen = []
         for x in sorted(passed):
             if all(x[2] <= y[1] or x[1] >= y[2] for y in chosen):

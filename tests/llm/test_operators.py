@@ -299,6 +299,17 @@ def test_license_in_any_layout(name):
     assert name in licenses_in(other + notice + " " + other) and name in licenses_in(other.replace(". ", ".\n") + textwrap.fill(notice, 30) + "\n" + other)
 
 
+def test_license_variants():
+    by = "This work is licensed under a Creative Commons Attribution"
+    assert licenses_in("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0"}
+    assert licenses_in(f"{by}-NonCommercial 4.0 International License.") == {"CC-BY-NC-4.0-long"}
+    assert licenses_in(f"{by}-NonCommercial-NoDerivatives 4.0 International License.") == {"CC-BY-NC-ND-4.0"}
+    assert licenses_in(f"{by}-ShareAlike 3.0 International License.") == {"CC-BY-SA-3.0"}
+    assert licenses_in("Licensed under CC BY 4.0") == {"CC-BY-4.0-short"} and licenses_in("Licensed under CC BY-SA 4.0") == {"CC-BY-SA-4.0-short"}
+    assert licenses_in("Licensed under the Apache License, Version 2.0 or the MIT license") == {"Apache-2.0", "MIT-or-Apache-2.0"}
+    assert licenses_in("Released under the MIT License. All rights reserved.") == {"MIT", "All-rights-reserved"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
