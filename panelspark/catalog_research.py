@@ -147,6 +147,14 @@ def p12(s, d):
     return r.groupBy("strategy").agg(F.count("*").alias("n"), F.try_divide(F.avg("r"), F.stddev_pop("r")).alias("s"))
 
 
+@query("p12_random_null_200", "strategy n", "s", """SELECT 'random' || run AS strategy, count(*) AS n, avg(r) / stddev_pop(r) AS s FROM (SELECT run, trade_date, sum(u * x) / sum(u) AS r FROM (SELECT *, ('0x' || md5('0|' || run || '|' || trade_date || '|' || ticker)[1:8])::BIGINT::DOUBLE + 1 AS u
+       FROM (SELECT ticker, trade_date, exp(returns) - 1 AS x, unnest(range(200)) AS run FROM ret)) GROUP BY ALL) GROUP BY run""", _R)
+def p12_200(s, d):
+    """Daily Sharpe ratios of 200 random portfolios, the whole null distribution; `p12_random_null` keeps its 20, as its SQL does."""
+    r = training.random_portfolios(_returns(s, d))
+    return r.groupBy("strategy").agg(F.count("*").alias("n"), F.try_divide(F.avg("r"), F.stddev_pop("r")).alias("s"))
+
+
 @query("m13_bootstrap", "strategy n", "mean low high",
        """SELECT strategy, any_value(n) AS n, any_value(mu) AS mean, quantile_cont(b, 0.025) AS low, quantile_cont(b, 0.975) AS high FROM (SELECT dr.strategy, rs, any_value(n) AS n, any_value(mu) AS mu, sum(z.p - coalesce(a.p, 0)) / any_value(n) AS b FROM dr
        LEFT JOIN ps a ON a.strategy = dr.strategy AND a.i = dr.start JOIN ps z ON z.strategy = dr.strategy AND z.i = dr.start + least(ln_, n - k * ln_) GROUP BY ALL) GROUP BY strategy""",

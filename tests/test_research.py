@@ -234,3 +234,13 @@ def test_ranker_finds_what_was_planted(spark):
     best = ranking.importances(p, ["noise", "signal"], "y", trees=5).orderBy("consensus").collect()
     assert [r.feature for r in best] == ["signal", "noise"] and best[0].consensus == 1
     assert ranking.importances(p.limit(0), ["noise"], "y").count() == 0
+
+
+def test_whole_random_null(spark):
+    from panelspark.catalog import QUERIES
+    from panelspark.catalog_research import ORACLE_SQL
+    from tests.oracle import compare
+
+    name = "p12_random_null_200"
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+    assert compare(spark, name, QUERIES[name], ORACLE_SQL[name], "/root/testdata/sf0.001") == ""
