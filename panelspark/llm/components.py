@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import stored
+from panelspark.llm.common import discard, stored
 
 
 def _around(edges: DataFrame) -> DataFrame:
@@ -30,4 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_around(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         small = large.join(_around(large), "u")
+        last = now
         now = stored(small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least"))).where("u <> v").distinct(), "edges")
+        discard(last)

@@ -1,8 +1,8 @@
 """Documents linked by the Jaccard similarity of their word shingles, found by prefixes under several orders (operator 7).
 
 If two sets have a similarity of t or more, then under any one order of all tokens the first n - ceil(t n) + 1 tokens of
-both share a token. The first order is an index: equal prefix tokens bring documents together. The others are filters: a
-pair goes on only if its prefixes share a token under each of them too. What is left is compared exactly.
+both share a token. The first order is an index: equal prefix tokens bring documents together. Two more orders are filters:
+a pair goes on only if its prefixes share enough tokens under each of them too. What is left is compared exactly.
 
 Sets are known by a hash, so equal ones are one class from the start. A token's group isn't expanded into all pairs.
 First its members are compared with a leader, which joins most groups into one component, then the components that are
@@ -12,13 +12,14 @@ left in a group with each other's leader; last, exactly, all members of a group
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import small_batches, stored, table
+from panelspark.llm.common import discard, small_batches, stored, table
 from panelspark.llm.components import components
 from panelspark.llm.words import Chunk, chunks, grams, mix
 
@@ -29,9 +30,13 @@ HEAVY = 500_000
 FANOUT = 1024
 #: Most bits of the table that says which sets take part in a comparison; beyond it more sets than needed are sent.
 MASK_BITS = 1 << 25
+#: Tokens of sets that are counted at a time when frequent ones are looked for.
+COUNTED = 5_000_000
 #: Tokens before a place that are looked at so that a pair isn't made again at each token that it shares.
 BEFORE = 8
-#: Odd factors; each gives another order of the tokens that aren't heavy.
+#: Bridges are followed where their candidates are more than one for so many rows; the exact rest finds their links anyway.
+LEAST_BRIDGES = 100
+#: Each gives an order of all tokens by their mixed bits; the index has an order of its own.
 ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 _U = np.uint64
@@ -85,14 +90,12 @@ class Heavy:
             out[some[hit]] = at[hit]
         return out
 
-    def prefix(self, tokens: np.ndarray, factor: np.uint64 = _U(1)) -> tuple[np.ndarray, np.ndarray]:
-        """The first tokens under an order: light ones by token times factor, then heavy ones, rarest first. Also their
-        places among the heavy ones."""
+    def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first tokens under the index's order: light ones by their bits, then heavy ones, rarest first. Also their places
+        among the heavy ones."""
         p, at = prefix_length(len(tokens)), self.places(tokens)
         light = tokens[at < 0]
         if len(light) >= p:
-            if factor != 1:
-                light = light[np.argpartition(light * factor, p - 1)[:p]]
             return light[:p], np.full(p, -1)
         heavy = np.flatnonzero(at >= 0)
         heavy = heavy[np.argsort(self.ranks[at[heavy]])[: p - len(light)]]
@@ -100,12 +103,12 @@ class Heavy:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, key, n) for each document, and rows (token, df) for tokens that are frequent in a part of a partition."""
+    """A row (doc_id, key, n) for each document, and rows (token, df) for tokens that are found again in a part of a partition."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 
     def frequent(held: list[np.ndarray]):
         tokens, df = np.unique(np.concatenate(held), return_counts=True)
-        some = df >= max(4, len(held) // 2000)
+        some = df > 1
         k, none = int(some.sum()), pa.nulls(int(some.sum()), pa.int64())
         if k:
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[some].view(np.int64)), pa.array(df[some])], schema=schema)
@@ -123,7 +126,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                         seen.add(k)
                         held.append(x)
                         total += len(x)
-                if total > 3_000_000:
+                if total > COUNTED:
                     yield from frequent(held)
                     held, total = [], 0
         if held:
@@ -169,36 +172,63 @@ def postings(docs: DataFrame, heavy) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Of rows (token, salt, n, key, pos) those next to which, in their token's group by size, stands another set of a size that
-    could match; each once. A dealt token's rows all stay, as the other set may be under any of its salts. Streams its partition
-    in order and holds a row between batches."""
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    """Of rows (token, salt, n, key, pos), each once, those that could match another of their token: a row's size fits the
+    size of one of its neighbours by size. lead is the set that a row's set is to be compared with first: the first of its
+    size class, or for that one the last of the class below, if their places allow a link. Where only two rows of a token
+    fit each other, lead says all, and the other columns are null. A dealt token's rows all stay, as the other set may be
+    under any of its salts; head marks the first of a size class there. Streams its partition in order, and holds a row
+    between batches."""
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("pos", pa.int32()), ("lead", pa.int64()), ("head", pa.bool_())])
 
     def run(batches):
-        held, near_before = None, False
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(cols[0]):
+        held = near_before = last_lead = None
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
                 continue
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
+            if batch is None:
+                if held is None:
+                    return
+                cols = held
+            else:
+                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                if held is not None:
+                    cols = [np.concatenate(x) for x in zip(held, cols)]
             t, s, n, k, _ = cols
             once = np.ones(len(t), bool)
             once[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-            t, s, n, k, _ = cols = [c[once] for c in cols]
-            near = np.zeros(len(t), bool)
-            near[0] = near_before
-            near[1:] = (t[1:] == t[:-1]) & (s[1:] == s[:-1]) & (100 * n[:-1].astype(np.int64) >= PERCENT * n[1:].astype(np.int64))
+            t, s, n, k, pos = cols = [c[once] for c in cols]
+            size = n.astype(np.int64)
+            near, same, at = np.zeros(len(t), bool), np.zeros(len(t), bool), np.arange(len(t))
+            kind = np.floor(np.log(size) / math.log(100 / PERCENT))
+            both = (t[1:] == t[:-1]) & (s[1:] == s[:-1])
+            near[1:] = both & (100 * size[:-1] >= PERCENT * size[1:])
+            same[1:] = both & (kind[1:] == kind[:-1])
+            first = np.maximum.accumulate(np.where(same, 0, at))
+            lead = np.where(same, first, at - 1)
+            lead_k, lead_n, lead_pos = k[lead], size[lead], pos[lead]
+            if last_lead is not None:  # the first row was held; what leads it, and with it its class, came before
+                of_held = first == 0 if last_lead[3] else at == 0
+                lead_k, lead_n, lead_pos = (np.where(of_held, x, y) for x, y in zip(last_lead, (lead_k, lead_n, lead_pos)))
+                near[0], same[0] = near_before, last_lead[3]
+            tried = (same | near) & (np.minimum(size - pos, lead_n - lead_pos) * (100 + PERCENT) >= (size + lead_n) * PERCENT)
+            runs = np.cumsum(~near)
+            of_two = np.bincount(runs)[runs] == 2
+            of_two &= (runs != runs[-1]) & ((runs != runs[0]) | (held is None)) & (s == 0)
             some = near | (s > 0)
             some[:-1] |= near[1:]
-            out = np.flatnonzero(some[:-1])
+            some &= ~of_two | tried
+            end = len(t) - (batch is not None)
+            out = np.flatnonzero(some[:end])
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(c[out], kind) for c, kind in zip(cols, kinds)], ["token", "salt", "n", "key", "pos"])
+                alone, none = of_two[out], ~tried[out]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(t[out], mask=alone), pa.array(n[out], pa.int32(), mask=alone), pa.array(k[out]), pa.array(pos[out], pa.int32(), mask=alone),
+                    pa.array(lead_k[out], mask=none), pa.array((s[out] > 0) & ~same[out], mask=alone),
+                ], schema=schema)
             held, near_before = [c[-1:] for c in cols], bool(near[-1])
-        if held and (near_before or held[1][0] > 0):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(held, kinds)], ["token", "salt", "n", "key", "pos"])
+            last_lead = lead_k[-1], lead_n[-1], lead_pos[-1], bool(same[-1])
 
-    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key").mapInArrow(run, "token long, salt int, n int, key long, pos int")
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key").mapInArrow(run, "token long, n int, key long, pos int, lead long, head boolean")
 
 
 def fits(a: str, b: str):
@@ -213,20 +243,11 @@ def enough(n, pos):
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys, linear in rows: each member of a token's group with its size class's leader, the one with the
-    fewest tokens before; the smallest of a class with the largest of the class below; leaders of salted groups with one."""
-    rows = rows.withColumn("class", F.floor(F.log("n") / math.log(100 / PERCENT)))
-    group = Window.partitionBy("token", "salt").orderBy("class", "n", "key")
-    seen = rows.select(
-        "token", "salt", "class", "n", "key",
-        F.min(F.struct("pos", "key", "n")).over(Window.partitionBy("token", "salt", "class")).alias("lead"),
-        F.lag("key").over(group).alias("before"), F.lag("n").over(group).alias("before_n"), F.lag("class").over(group).alias("before_class"), "pos",
-    ).withColumn("leader", F.col("lead.key"))
-    top = seen.where("key = leader").groupBy("token", "class").agg(F.min_by("key", F.struct("pos", "key")).alias("a"), F.count("*").alias("groups")).where("groups > 1")
-    led = seen.where((F.col("key") != F.col("leader")) & enough(F.col("lead.n"), F.col("lead.pos")))
-    pairs = led.select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    pairs = pairs.union(seen.where((F.col("class") != F.col("before_class")) & fits("before_n", "n")).select("before", "key"))
-    pairs = pairs.union(seen.where("key = leader").join(top, ["token", "class"]).where("key <> a").select("a", "key"))
+    """Pairs (a, b) of keys, linear in rows: each row's with what leads it, and the leaders of a salted token's class with one."""
+    heads = rows.where("head").withColumn("class", F.floor(F.log("n") / math.log(100 / PERCENT)))
+    top = heads.groupBy("token", "class").agg(F.min_by("key", F.struct("pos", "key")).alias("a"), F.count("*").alias("groups")).where("groups > 1")
+    pairs = rows.where("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    pairs = pairs.union(heads.join(top, ["token", "class"]).where("key <> a").select("a", "key"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -241,11 +262,14 @@ def mask(keys: DataFrame) -> np.ndarray:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """16 bits of each token of a set's prefix under the second order. Linked sets' prefixes share k tokens if they are
-    k - 1 tokens longer than those that share one; here k is a quarter of the set, behind which the tokens follow."""
-    h, k = mix(x ^ ORDERS[0]), max(1, len(x) // 4)
-    p = min(len(x), prefix_length(len(x)) - 1 + k)
-    return np.concatenate((np.array([k], np.uint32).view(np.uint16), (h[np.argpartition(h, p - 1)[:p]] & _U(0xFFFF)).astype(np.uint16))).tobytes()
+    """A set's size and 16 bits of each of its first tokens under the second order (half of the set) and the third (the
+    shortest prefix that serves)."""
+    n = len(x)
+    parts = [np.array([n], np.uint32).view(np.uint16)]
+    for factor, p in zip(ORDERS, (max(prefix_length(n), n // 2), prefix_length(n))):
+        h = mix(x ^ factor)
+        parts.append((np.sort(np.partition(h, p - 1)[:p]) & _U(0xFFFF)).astype(np.uint16))
+    return np.concatenate(parts).tobytes()
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, column: str, kind: str, make) -> DataFrame:
@@ -288,22 +312,29 @@ def values(column: pa.Array):
 
 
 def may_link(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sketches share as many tokens as those of linked sets must. Equal halves of different tokens only add."""
-    k = min(int(v[:2].copy().view(np.uint32)[0]) for v in (x, y))
-    return int(np.isin(x[2:], y[2:]).sum()) >= k
+    """Whether two sketches share as many tokens under both orders as those of linked sets must: sets of a and b tokens, of
+    which m are common, have the first k of these among their first a - m + k and b - m + k. Equal bits of different tokens
+    only add."""
+    a, b = (int(v[:2].copy().view(np.uint32)[0]) for v in (x, y))
+    m = -(-PERCENT * (a + b) // (100 + PERCENT))
+    at = [(2, 2 + max(prefix_length(n), n // 2)) for n in (a, b)]
+    for _ in ORDERS:
+        (start_a, end_a), (start_b, end_b) = at
+        k = min(end_a - start_a - (a - m), end_b - start_b - (b - m))
+        if np.isin(x[start_a : start_a + a - m + k], y[start_b : start_b + b - m + k]).sum() < k:
+            return False
+        at = [(end, end + prefix_length(n)) for (_, end), n in zip(at, (a, b))]
+    return True
 
 
-def links(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, heavy) -> DataFrame:
-    """The pairs whose prefixes share enough tokens under each further order and whose similarity is large enough."""
-    passed = stored(compared(pairs, sketches, "sketch", may_link), "candidates")
-    sets = sets_of(docs, passed.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "tokens", "array<long>", lambda x: x.view(np.int64))
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
-    def alike(x, y):
-        if not len(np.intersect1d(heavy.value.prefix(x, ORDERS[1])[0], heavy.value.prefix(y, ORDERS[1])[0], True)):
-            return False
-        both = len(np.intersect1d(x, y, True))
-        return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
+def confirmed(docs: DataFrame, passed: DataFrame) -> DataFrame:
+    """The pairs whose similarity is large enough."""
+    sets = sets_of(docs, passed.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "tokens", "array<long>", lambda x: x.view(np.int64))
     return stored(compared(passed, sets, "tokens", alike), "links")
 
 
@@ -311,7 +342,7 @@ def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (token, n, pos, key, root, before) of the tokens whose sets are in different components; before holds the BEFORE
     such tokens that come before in the set. Of tokens that have the same
     sets only the first is kept: all orders agree on it, so it stands before the others in every set."""
-    rows = rows.select("token", "n", "pos", "key").join(found.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = rows.join(found.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
     groups = rows.groupBy("token").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.min("pos").alias("pos"), F.min("key").alias("least"), F.max("key").alias("most"),
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("hash"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"),
@@ -352,17 +383,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     heavy = context.broadcast(heavy_tokens(known))
     rows = stored(shared(postings(docs, heavy)), "postings")
     tried = stored(stars(rows), "pairs")
-    sketches = stored(sets_of(docs, rows.select("key").distinct(), "sketch", "binary", sketch), "sketches")
-    linked = links(docs, tried, sketches, heavy)
-    for pairs_of in (bridges, apart):
-        rows = stored(mixed(rows, components(linked)), "postings")
-        left = stored(pairs_of(rows).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if left.take(1):
-            tried = tried.union(left)
-            linked = linked.union(links(docs, left, sketches, heavy))
+    keys = rows.where("token IS NOT NULL").select("key").union(tried.select(F.explode(F.array("a", "b")))).distinct()
+    sketches = stored(sets_of(docs, keys, "sketch", "binary", sketch), "sketches")
+    passed = stored(compared(tried, sketches, "sketch", may_link), "candidates")
+    linked = confirmed(docs, passed)
+    found = components(linked)
+    left = stored(mixed(rows.where("token IS NOT NULL").select("token", "n", "pos", "key"), found), "mixed")
+    discard(rows, passed)
+    pairs = stored(bridges(left).join(tried, ["a", "b"], "left_anti"), "pairs")
+    passed = stored(compared(pairs, sketches, "sketch", may_link), "candidates")
+    if passed.count() * LEAST_BRIDGES > left.count():
+        tried = tried.union(pairs)
+        linked = linked.union(confirmed(docs, passed))
+        found, rows = components(linked), left
+        left = stored(mixed(rows.select("token", "n", "pos", "key"), found), "mixed")
+        discard(rows)
+    pairs = stored(apart(left).join(tried, ["a", "b"], "left_anti"), "pairs")
+    passed = stored(compared(pairs, sketches, "sketch", may_link), "candidates")
+    discard(left, pairs)
+    if passed.take(1):
+        found = components(linked.union(confirmed(docs, passed)))
+    discard(sketches, passed)
     ids = known.where("n IS NOT NULL")
     sets = ids.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    sets = sets.join(components(linked).withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sets = sets.join(found.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sets = stored(sets, "sets")
     roots = sets.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(sets.join(roots, "root").select("key", "component_id"), "components")
