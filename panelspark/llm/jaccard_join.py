@@ -35,7 +35,7 @@ COUNTED = 5_000_000
 #: Tokens before a place that are looked at so that a pair isn't made again at each token that it shares.
 BEFORE = 8
 #: Bridges are followed where their candidates are more than one for so many rows; the exact rest finds their links anyway.
-LEAST_BRIDGES = 100
+LEAST_BRIDGES = 1000
 #: Each gives an order of all tokens by their mixed bits; the index has an order of its own.
 ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
