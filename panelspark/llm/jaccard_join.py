@@ -31,7 +31,7 @@ FANOUT = 1024
 #: Most bits of the table that says which sets take part in a comparison; beyond it more sets than needed are sent.
 MASK_BITS = 1 << 25
 #: Tokens of sets that are counted at a time when frequent ones are looked for.
-COUNTED = 5_000_000
+COUNTED = 3_000_000
 #: Tokens before a place that are looked at so that a pair isn't made again at each token that it shares.
 BEFORE = 8
 #: Bridges are followed where their candidates are more than one for so many rows; the exact rest finds their links anyway.
