@@ -24,14 +24,16 @@ def _full(fn: str, x: str, n: int) -> str:
     return f"CASE WHEN count({x}) {w} = {n} THEN {fn}({x}) {w} END"
 
 
-def query(name: str, keys: str, columns: str, sql: str, ctes: str = ""):
-    """Registers a query that shows keys and columns (doubles, to 6 digits), and its SQL, a SELECT with the same names."""
-    ks, cs = keys.split(), columns.split()
+def query(name: str, keys: str, columns: str, sql: str | None, ctes: str = "", plain: str = ""):
+    """Registers a query that shows keys, columns (doubles, to 6 digits) and plain ones (doubles as they are, as those that have
+    7 or 8 digits, of which rounding makes ties), and its SQL, a SELECT with the same names; None where SQL can't say it."""
+    ks, cs = keys.split() + plain.split(), columns.split()
 
     def put(f):
         QUERIES[name] = lambda spark, sf: f(spark, sf).select(*ks, *[F.round(k, 6).alias(k) for k in cs])
-        shown = ", ".join([*ks, *[f"round({k}, 6) AS {k}" for k in cs]])
-        ORACLE_SQL[name] = f"WITH {v.SQL}{', ' + ctes if ctes else ''} SELECT {shown} FROM ({sql})"
+        if sql is not None:
+            shown = ", ".join([*[f'"{k}"' for k in ks], *[f"round({k}, 6) AS {k}" for k in cs]])
+            ORACLE_SQL[name] = f"WITH {v.SQL}{', ' + ctes if ctes else ''} SELECT {shown} FROM ({sql})"
         return f
 
     return put
@@ -59,6 +61,18 @@ def w13(s, d):
 _F = "WINDOW w AS (PARTITION BY ticker ORDER BY reference_date)"
 
 
+_GROWTH = {"revenue": "net_revenue", "earnings": "net_income", "ebitda": "ebitda", "total_assets": "total_assets", "total_debt": "total_debt"}
+_OLD = {"earnings": "net_income", "revenue": "net_revenue"}
+#: Filings with growth, changes, scores and final five-year rates.
+_FF = "f5 AS (SELECT *, equity / nullif(market_cap, 0) AS book_to_market, net_income / nullif(market_cap, 0) AS earnings_yield, cash / nullif(current_liabilities, 0) AS cash_ratio, net_debt / nullif(total_assets, 0) AS net_debt_to_assets, (current_assets - current_liabilities) / nullif(total_assets, 0) AS working_capital_ratio, " + ", ".join(
+    f"{x} / nullif(lag({x}, 4) OVER w, 0) - 1 AS {k}_growth_yoy" for k, x in _GROWTH.items()) + ", debt_equity - lag(debt_equity) OVER w AS debt_equity_qoq, " + ", ".join(
+    f"CASE WHEN lag({x}, 20) OVER w > 0 AND {x} > 0 THEN (pow({x} / lag({x}, 20) OVER w, 0.2) - 1) * 100 END AS {k}_rate" for k, x in _OLD.items()) + """,
+    coalesce(roa > 0, false)::INT + coalesce(roa > lag(roa, 4) OVER w, false)::INT + coalesce(gross_margin > lag(gross_margin, 4) OVER w, false)::INT + coalesce(debt_equity < lag(debt_equity, 4) OVER w, false)::INT + coalesce(current_ratio > lag(current_ratio, 4) OVER w, false)::INT AS f_score,
+    (row_number() OVER w > 20 AND (lag(net_income, 20) OVER w IS NULL OR lag(net_income, 20) OVER w <= 0))::INT AS had_negative_earnings_5y FROM filings WINDOW w AS (PARTITION BY ticker ORDER BY reference_date)),
+    f6 AS (SELECT *, last_value(earnings_rate IGNORE NULLS) OVER y AS cagr_earnings_5y_calc, last_value(revenue_rate IGNORE NULLS) OVER y AS cagr_revenue_5y_calc FROM f5 WINDOW y AS (PARTITION BY ticker, year(reference_date) ORDER BY reference_date ROWS UNBOUNDED PRECEDING)),
+    ff AS (SELECT *, coalesce(cagr_earnings_5y, cagr_earnings_5y_calc) AS cagr_earnings_5y_final, coalesce(cagr_revenue_5y, cagr_revenue_5y_calc) AS cagr_revenue_5y_final FROM f6)"""
+
+
 @query("w14_filing_ratios", "ticker reference_date", "book_to_market cash_ratio net_debt_to_assets working_capital_ratio",
        "SELECT *, equity / nullif(market_cap, 0) AS book_to_market, cash / nullif(current_liabilities, 0) AS cash_ratio, net_debt / nullif(total_assets, 0) AS net_debt_to_assets, (current_assets - current_liabilities) / nullif(total_assets, 0) AS working_capital_ratio FROM fundamentals")
 def w14(s, d):
@@ -104,13 +118,13 @@ def j02(s, d):
     return asof.asof_dates(v.prices(s, d), v.macro(s, d), "trade_date", "reference_date")
 
 
-@query("j03_last_dividend", "ticker trade_date ex_date", "value_per_share", "SELECT p.ticker, trade_date, ex_date, value_per_share FROM prices p ASOF LEFT JOIN dividends f ON p.ticker = f.ticker AND p.trade_date >= f.ex_date")
+@query("j03_last_dividend", "ticker trade_date ex_date", "", "SELECT p.ticker, trade_date, ex_date, value_per_share FROM prices p ASOF LEFT JOIN dividends f ON p.ticker = f.ticker AND p.trade_date >= f.ex_date", plain="value_per_share")
 def j03(s, d):
     return asof.asof_join(v.prices(s, d), v.dividends(s, d), ["ticker"], "trade_date", "ex_date")
 
 
-@query("j05_trailing_dividends", "ticker trade_date n_events", "sum_events",
-       "SELECT p.ticker, p.trade_date, count(x.ex_date) AS n_events, coalesce(sum(value_per_share), 0) AS sum_events FROM prices p LEFT JOIN dividends x ON p.ticker = x.ticker AND x.ex_date <= p.trade_date AND x.ex_date > p.trade_date - 252 GROUP BY ALL")
+@query("j05_trailing_dividends", "ticker trade_date n_events", "",
+       "SELECT p.ticker, p.trade_date, count(x.ex_date) AS n_events, coalesce(sum(value_per_share), 0) AS sum_events FROM prices p LEFT JOIN dividends x ON p.ticker = x.ticker AND x.ex_date <= p.trade_date AND x.ex_date > p.trade_date - 252 GROUP BY ALL", plain="sum_events")
 def j05(s, d):
     return asof.trailing_events(v.prices(s, d), v.dividends(s, d), "ticker", "trade_date", "ex_date", "value_per_share", 252)
 
@@ -121,20 +135,20 @@ def f01(s, d):
     return v.prices(s, d).join(v.fundamentals(s, d).select("ticker").distinct(), "ticker", "left_semi").join(active, "ticker").groupBy("ticker", "sector").agg(F.count("*").alias("n")).where("n >= 10")
 
 
-@query("u03_without_dividends", "ticker", "", "SELECT ticker FROM companies EXCEPT SELECT ticker FROM dividends")
+@query("u03_without_dividends", "ticker", "", "SELECT ticker FROM companies EXCEPT SELECT ticker FROM dividends WHERE ex_date < DATE '1992-06-01'")
 def u03(s, d):
-    return v.companies(s, d).select("ticker").subtract(v.dividends(s, d).select("ticker"))
+    """Companies without a dividend in the first months."""
+    return v.companies(s, d).select("ticker").subtract(v.dividends(s, d).where("ex_date < '1992-06-01'").select("ticker"))
 
 
-_XS = PRICE + ", xs AS (SELECT p.*, sector, " + ", ".join(f"{_full('sum', 'log_return', n)} AS return_{k}" for k, n in (("1m", 21), ("3m", 63))) + " FROM px p JOIN companies USING (ticker))"
+_XS = PRICE + ", xs AS (SELECT p.*, sector, " + ", ".join(f"{_full('sum', 'log_return', n)} AS return_{k}" for k, n in (("1m", 21), ("3m", 63), ("12m", 252))) + " FROM px p JOIN companies USING (ticker))"
 
 
-@query("w36_momentum", "ticker trade_date", "momentum_vs_market_1m momentum_vs_sector_1m momentum_vs_market_3m momentum_vs_sector_3m",
-       "SELECT ticker, trade_date, " + ", ".join(f"return_{m} - avg(return_{m}) OVER (PARTITION BY trade_date) AS momentum_vs_market_{m}, return_{m} - avg(return_{m}) OVER (PARTITION BY trade_date, sector) AS momentum_vs_sector_{m}" for m in ("1m", "3m")) + " FROM xs", _XS)
+@query("w36_momentum", "ticker trade_date", "momentum_vs_market_1m momentum_vs_sector_1m momentum_vs_market_3m momentum_vs_sector_3m momentum_vs_market_12m momentum_vs_sector_12m",
+       "SELECT ticker, trade_date, " + ", ".join(f"return_{m} - avg(return_{m}) OVER (PARTITION BY trade_date) AS momentum_vs_market_{m}, return_{m} - avg(return_{m}) OVER (PARTITION BY trade_date, sector) AS momentum_vs_sector_{m}" for m in ("1m", "3m", "12m")) + " FROM xs", _XS)
 def w36(s, d):
     p = features.price_features(v.prices(s, d)).join(v.companies(s, d), "ticker")
-    none = F.lit(None).cast("double")
-    return features.cross_section(p.withColumns({k: none for k in ("pvp", "roe", "debt_equity")}))
+    return features.cross_section(p)
 
 
 @query("w31_history_ranks", "ticker trade_date", "volatility_20d_percentile price_percentile_5y",
@@ -157,13 +171,11 @@ def q06(s, d):
     return quality.date_gaps(p).unionByName(quality.return_spikes(p))
 
 
-ORACLE_SQL["q06_gaps_and_spikes"] = ORACLE_SQL["q06_gaps_and_spikes"].replace("SELECT ticker, date, check,", 'SELECT ticker, date, "check",')
-
 
 @query("a07_outliers", "ticker date", "value",
-       "SELECT ticker, trade_date AS date, 0.6745::DOUBLE * (adj_close - med) / mad AS value FROM (SELECT a.*, median(away) OVER (PARTITION BY ticker) AS mad FROM (SELECT *, median(adj_close) OVER (PARTITION BY ticker) AS med, abs(adj_close - median(adj_close) OVER (PARTITION BY ticker)) AS away FROM prices) a) WHERE mad > 0 AND abs(0.6745::DOUBLE * (adj_close - med) / mad) > 2")
+       "SELECT ticker, trade_date AS date, 0.6745::DOUBLE * (adj_close - med) / mad AS value FROM (SELECT a.*, median(away) OVER (PARTITION BY ticker) AS mad FROM (SELECT *, median(adj_close) OVER (PARTITION BY ticker) AS med, abs(adj_close - median(adj_close) OVER (PARTITION BY ticker)) AS away FROM prices) a) WHERE mad > 0 AND abs(0.6745::DOUBLE * (adj_close - med) / mad) > 1.5")
 def a07(s, d):
-    return quality.outliers(v.prices(s, d), limit=2.0)
+    return quality.outliers(v.prices(s, d), limit=1.5)
 
 
 @query("q02_price_gate", "check severity n_bad", "",
@@ -173,8 +185,6 @@ def q02(s, d):
     return quality.price_gate(v.prices(s, d))
 
 
-ORACLE_SQL["q02_price_gate"] = ORACLE_SQL["q02_price_gate"].replace("SELECT check, severity", 'SELECT "check", severity')
-
 
 def _market(s, d) -> DataFrame:
     """Equal-weight daily simple returns of two strategies: all active names, and those of AMERICA."""
@@ -227,7 +237,7 @@ def k01(s, d):
 
 
 def panel(s: SparkSession, d: str) -> DataFrame:
-    return build_panel(v.prices(s, d), v.fundamentals(s, d), v.companies(s, d), v.macro(s, d), v.dividends(s, d))
+    return build_panel(v.prices(s, d), v.filings(s, d), v.companies(s, d), v.macro(s, d), v.dividends(s, d))
 
 
 @query("p00_build_panel", "ticker trade_date reference_date sector div_count_12m days_since_fundamental", "log_return ma_20 drawdown pl pvp selic excess_return div_yield_12m momentum_vs_market_1m pvp_zscore_sector",
@@ -240,7 +250,7 @@ def p00(s, d):
     return panel(s, d)
 
 
-@query("p07_rebalanced", "strategy date", "gross cost r", "SELECT 1", "")
+@query("p07_rebalanced", "strategy date", "gross cost r", None)
 def p07(s, d):
     """Monthly equal-weight portfolios of all names that trade on a block's first day, at 10 basis points."""
     p = features.training_returns(v.prices(s, d)).where("returns IS NOT NULL").select(F.col("trade_date").alias("date"), "ticker", (F.expm1("returns") / 10).alias("r"))
@@ -248,9 +258,6 @@ def p07(s, d):
     return performance.rebalanced(p, p.select(F.lit("equal_weight").alias("strategy"), "date", "ticker", (1 / n).alias("w")), 21, 0.001)
 
 
-del ORACLE_SQL["p07_rebalanced"]
-
-
 def _returns(s, d) -> DataFrame:
     return features.training_returns(v.prices(s, d)).where("returns IS NOT NULL")
 
@@ -416,15 +423,12 @@ def a21(s, d):
     return audit.ic_summary(daily, 5)
 
 
-@query("m09_probabilistic_sharpe", "strategy n", "psr", "SELECT 1", "")
+@query("m09_probabilistic_sharpe", "strategy n", "psr", None)
 def m09(s, d):
     """Without SQL: DuckDB has no normal distribution."""
     return performance.probabilistic_sharpe(_market(s, d))
 
 
-del ORACLE_SQL["m09_probabilistic_sharpe"]
-
-
 _JOINED = """gf AS (SELECT *, net_revenue / nullif(lag(net_revenue, 4) OVER w, 0) - 1 AS rg, net_income / nullif(lag(net_income, 4) OVER w, 0) - 1 AS eg FROM fundamentals WINDOW w AS (PARTITION BY ticker ORDER BY reference_date)),
     jf AS (SELECT p.ticker, p.trade_date, f.* EXCLUDE (ticker), selic FROM prices p ASOF LEFT JOIN gf f ON p.ticker = f.ticker AND p.trade_date >= f.reference_date ASOF LEFT JOIN macro m ON p.trade_date >= m.reference_date)"""
 
@@ -440,4 +444,5 @@ def w29(s, d):
 @query("w38_filing_trends", "ticker trade_date", "roe_trend net_margin_trend debt_equity_trend roa_trend",
        "SELECT ticker, trade_date, " + ", ".join(f"{k} - lag({k}, 4) OVER w AS {k}_trend" for k in ("roe", "net_margin", "debt_equity", "roa")) + " FROM jf WINDOW w AS (PARTITION BY ticker ORDER BY reference_date NULLS LAST, trade_date)", _JOINED)
 def w38(s, d):
-    return features.filing_trends(asof.asof_join(v.prices(s, d), v.fundamentals(s, d), ["ticker"], "trade_date", "reference_date"))
+    names = {f"{k}_trend": k for k in ("roe", "net_margin", "debt_equity", "roa")}
+    return features.filing_trends(asof.asof_join(v.prices(s, d), v.fundamentals(s, d), ["ticker"], "trade_date", "reference_date"), names)

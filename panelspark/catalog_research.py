@@ -173,25 +173,19 @@ def m19(s, d):
     return significance.two_sample_ks(p.unpivot(["second"], ["adj_close", "log_return"], "feature", "x"))
 
 
-@query("m11_deflated_sharpe", "strategy n", "benchmark dsr", "SELECT 1", "")
+@query("m11_deflated_sharpe", "strategy n", "benchmark dsr", None)
 def m11(s, d):
     """Trials are the Sharpe ratios of each ticker; without SQL: DuckDB has no normal distribution."""
     every = _returns(s, d).select("ticker", F.expm1("returns").alias("r"))
     return significance.deflated_sharpe(_market(s, d), significance.daily_sharpe(every, "ticker"))
 
 
-del ORACLE_SQL["m11_deflated_sharpe"]
-
-
-@query("m25_significance", "strategy n", "mean t_naive t_hac low high", "SELECT 1", "")
+@query("m25_significance", "strategy n", "mean t_naive t_hac low high", None)
 def m25(s, d):
     """Its parts have SQL of their own."""
     return significance.significance(_market(s, d))
 
 
-del ORACLE_SQL["m25_significance"]
-
-
 @query("a22_share_below", "name", "value percent", "SELECT name, value, 100 * avg((x < value)::INT) AS percent FROM (SELECT strategy AS name, avg(r) / stddev_pop(r) AS value FROM m GROUP BY 1), (SELECT avg(exp(log_return) - 1) / nullif(stddev_pop(exp(log_return) - 1), 0) AS x FROM px WHERE abs(log_return) <= 1 GROUP BY ticker) WHERE x IS NOT NULL GROUP BY ALL", _M)
 def a22(s, d):
     every = _returns(s, d).select("ticker", F.expm1("returns").alias("r"))
@@ -309,18 +303,15 @@ def q06b(s, d):
     return quality.panel_findings(_plain_panel(s, d).withColumn("flag", F.lit(1.0)), ["adj_close", "log_return"], ["flag", "adj_close"])
 
 
-for _name in ("q06_panel_findings", "q07_panel_gate"):
-    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("SELECT check,", 'SELECT "check",', 1).replace("date, check,", 'date, "check",', 1)
-
 
 @query("s14_date_chunks", "chunk_start chunk_end", "", "SELECT a::DATE AS chunk_start, least(z, (a + INTERVAL 2 YEAR - INTERVAL 1 DAY)::DATE) AS chunk_end FROM (SELECT max(trade_date) AS z, unnest(generate_series(min(trade_date), max(trade_date), INTERVAL 2 YEAR)) AS a FROM prices)")
 def s14(s, d):
     return files.date_chunks(v.prices(s, d).agg(F.min("trade_date").alias("start"), F.max("trade_date").alias("end")), 2)
 
 
-@query("s15_parsed_rates", "reference_date", "selic", "SELECT reference_date, round(selic, 8) AS selic FROM macro")
+@query("s15_parsed_rates", "reference_date", "", "SELECT reference_date, round(selic, 12) AS selic FROM macro", plain="selic")
 def s15(s, d):
-    raw = v.macro(s, d).select(F.date_format("reference_date", "dd/MM/yyyy").alias("data"), F.regexp_replace(F.format_string("%.8f", "selic"), "[.]", ",").alias("valor"))
+    raw = v.macro(s, d).select(F.date_format("reference_date", "dd/MM/yyyy").alias("data"), F.regexp_replace(F.format_string("%.12f", "selic"), "[.]", ",").alias("valor"))
     return files.parsed_rates(raw, "selic")
 
 
@@ -338,19 +329,15 @@ def k06(s, d):
     return outputs.backtest_wide(training.stitched(_market(s, d)), w, ["all", "america"], ["S1", "S2"])
 
 
-@query("p16_ranker_ic", "trade_date n", "ic", "SELECT 1", "")
+@query("p16_ranker_ic", "trade_date n", "ic", None)
 def p16(s, d):
     """Boosted trees on price features, judged by the rank correlation of each later day; fitted, so without SQL."""
     p = performance.forward_return(features.price_features(v.prices(s, d)), 5)
     return performance.daily_rank_ic(ranking.ranked(p, ["volatility_20d", "hl_ratio", "drawdown", "rsi_14", "return_1m"], "forward"), "predicted", "forward")
 
 
-@query("p17_importances", "feature", "forest linear correlated consensus", "SELECT 1", "")
+@query("p17_importances", "feature", "forest linear correlated consensus", None)
 def p17(s, d):
     """Fitted, so without SQL."""
     p = performance.forward_return(features.price_features(v.prices(s, d)), 1)
     return ranking.importances(p, ["volatility_20d", "hl_ratio", "drawdown", "rsi_14", "return_1m"], "forward")
-
-
-for _name in ("p16_ranker_ic", "p17_importances"):
-    del ORACLE_SQL[_name]

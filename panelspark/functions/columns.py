@@ -1,7 +1,8 @@
-"""Column helpers: rolling windows that need all their rows, guarded arithmetic, ranks."""
+"""Column helpers: rolling windows that need all their rows, guarded arithmetic, ranks, the normal distribution."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, Window, WindowSpec
@@ -62,10 +63,19 @@ def rank_share(x: Column, by: list[str]) -> Column:
     return F.when(x.isNotNull(), (rank + (ties - 1) / 2.0) / F.count(x).over(w))
 
 
-def rolling_share(x: Column, n: int, over: WindowSpec | None = None) -> Column:
-    """Share of the values of the last n rows that are at most the row's; null where x is."""
-    held = F.collect_list(x).over((over or by_ticker()).rowsBetween(-(n - 1), 0))
-    return F.when(x.isNotNull(), F.size(F.filter(held, lambda v: v <= x)) / F.size(held))
+def annual_growth(now: Column, ago: Column, years: float) -> Column:
+    """Yearly growth in percent that leads from one value to the other; null unless both are positive."""
+    return F.when((now > 0) & (ago > 0), (F.pow(now / positive(ago), 1 / years) - 1) * 100)
+
+
+def normal_cdf(z: Column, terms: int = 80) -> Column:
+    """The standard normal distribution function by its series in z, which is as exact as doubles are up to the 7 deviations
+    beyond which it stays at its value there. z is a named column: it stands in each term."""
+    z = clip(z, -7.0, 7.0)
+    series = F.lit(1.0)
+    for k in range(terms, 0, -1):
+        series = 1 + z * z / (2 * k + 1) * series
+    return 0.5 + F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * z * series
 
 
 def z_score(x: Column, over) -> Column:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import correlation
+from panelspark.functions.columns import correlation, normal_cdf
 
 c = F.col
 DAYS, TINY = 252, 1e-12
@@ -35,6 +33,37 @@ def metrics(returns: DataFrame) -> DataFrame:
     return out.withColumn("annualized_return", F.pow(1 + c("cumulative_return"), DAYS / c("n")) - 1)
 
 
+def _sortino(x: Column) -> Column:
+    fall = F.coalesce(F.stddev_pop(F.when(x < 0, x)), F.lit(TINY))
+    return F.when(F.count(x) < 2, 0.0).otherwise(F.avg(x) / (fall + TINY) * math.sqrt(DAYS))
+
+
+def excess_ratios(returns: DataFrame) -> DataFrame:
+    """excess_sharpe and excess_sortino by strategy, of r less the riskless rf of the same row."""
+    over = c("r") - c("rf")
+    return returns.groupBy("strategy").agg(F.count("*").alias("n"), _sharpe(over).alias("excess_sharpe"), _sortino(over).alias("excess_sortino"))
+
+
+def cost_metrics(returns: DataFrame, rate: float) -> DataFrame:
+    """Of (strategy, date, r net of cost, cost), cost being turnover times rate: the Sharpe ratio before costs, what costs take
+    in a year, and the mean turnover of the days that have a cost."""
+    traded = F.when(c("cost") > 0, c("cost") / rate)
+    return returns.groupBy("strategy").agg(_sharpe(c("r") + c("cost")).alias("gross_sharpe"), (F.avg("cost") * DAYS).alias("annualized_cost_drag"), F.coalesce(F.avg(traded), F.lit(0.0)).alias("mean_turnover"))
+
+
+def concentration_metrics(weights: DataFrame) -> DataFrame:
+    """(strategy, effective_n, max_weight) of (strategy, date, w): means over days of one over the sum of squares, and of the
+    largest weight."""
+    day = weights.groupBy("strategy", "date").agg(F.sum(c("w") * c("w")).alias("_h"), F.max("w").alias("_m"))
+    return day.groupBy("strategy").agg(F.avg(1 / F.greatest("_h", F.lit(TINY))).alias("effective_n"), F.avg("_m").alias("max_weight"))
+
+
+def hac_test(returns: DataFrame, lags: int = 21) -> DataFrame:
+    """hac_t with p_value, two-sided under the normal distribution: 1 below three rows or without deviation."""
+    t = hac_t(returns, lags).withColumn("_z", -F.abs("t_hac"))
+    return t.withColumn("p_value", F.when(c("n") >= 3, F.coalesce(2 * normal_cdf(c("_z")), F.lit(1.0))).otherwise(1.0)).drop("_z")
+
+
 def hac_t(returns: DataFrame, lags: int = 21) -> DataFrame:
     """Newey-West t of the mean by strategy, with Bartlett weights over `lags` lags."""
     w = Window.partitionBy("strategy")
@@ -121,13 +150,8 @@ def cash_price(rates: DataFrame, date: str = "reference_date", rate: str = "seli
 
 def probabilistic_sharpe(returns: DataFrame, benchmark: float = 0.0) -> DataFrame:
     """(strategy, n, psr): probability that the daily Sharpe ratio exceeds the benchmark, by the moments of r; 0.5 below three
-    rows or without deviation. Only the strategies' moments, a row each, go through the normal distribution in Python."""
-
-    @F.pandas_udf("double")
-    def phi(z: pd.Series) -> pd.Series:
-        return z.map(NormalDist().cdf)
-
+    rows or without deviation."""
     m = returns.groupBy("strategy").agg(F.count("r").alias("n"), F.try_divide(F.avg("r"), F.stddev_pop("r")).alias("s"), F.skewness("r").alias("g"), (F.kurtosis("r") + 3).alias("k"))
     spread = 1 - c("g") * c("s") + (c("k") - 1) / 4 * c("s") * c("s")
     z = F.when((c("n") >= 3) & (spread > 0), (c("s") - benchmark) * F.sqrt(c("n") - 1) / F.sqrt(spread))
-    return m.select("strategy", "n", phi(F.coalesce(z, F.lit(0.0))).alias("psr"))
+    return m.select("strategy", "n", F.coalesce(z, F.lit(0.0)).alias("_z")).select("strategy", "n", normal_cdf(c("_z")).alias("psr"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.columns import normal_cdf
 from panelspark.operators.performance import hac_t
 
 c = F.col
@@ -67,11 +68,7 @@ def two_sample_ks(long: DataFrame, least: int = 6, parts: int = 64) -> DataFrame
 def deflated_sharpe(returns: DataFrame, trials: DataFrame) -> DataFrame:
     """(strategy, n, benchmark, dsr): probability that the daily Sharpe ratio exceeds the largest one expected of so many
     trials (a column s of daily Sharpe ratios) by chance; with fewer than two trials, or none that differ, that it exceeds 0.
-    Only a row for each strategy goes through the normal distribution in Python."""
-
-    @F.pandas_udf("double")
-    def phi(z: pd.Series) -> pd.Series:
-        return z.map(NormalDist().cdf)
+    Only the number of trials, one row, goes through the normal quantile in Python."""
 
     @F.pandas_udf("double")
     def largest(n: pd.Series) -> pd.Series:
@@ -83,7 +80,7 @@ def deflated_sharpe(returns: DataFrame, trials: DataFrame) -> DataFrame:
     m = m.join(F.broadcast(chance))  # one row
     spread = 1 - c("g") * c("s") + (c("k") - 1) / 4 * c("s") * c("s")
     z = F.when((c("n") >= 3) & (spread > 0), (c("s") - c("benchmark")) * F.sqrt(c("n") - 1) / F.sqrt(spread))
-    return m.select("strategy", "n", "benchmark", phi(F.coalesce(z, F.lit(0.0))).alias("dsr"))
+    return m.select("strategy", "n", "benchmark", F.coalesce(z, F.lit(0.0)).alias("_z")).select("strategy", "n", "benchmark", normal_cdf(c("_z")).alias("dsr"))
 
 
 def daily_sharpe(returns: DataFrame, by: str = "strategy") -> DataFrame:

@@ -53,11 +53,12 @@ def statement_ratios(filings: DataFrame, unit: float = 1000.0) -> DataFrame:
 
 
 def enterprise_multiples(panel: DataFrame, tiny: float = 1e-12) -> DataFrame:
-    """ev_ebit of the day: the filing's earnings are taken back out of its multiple, and the day's enterprise value is set
-    over them. market_cap and ev_ebit are the filing's; factor is the day's close over the filing's price."""
+    """ev_ebit and ev_ebitda of the day, those that the panel has: the filing's earnings are taken back out of its multiple,
+    and the day's enterprise value is set over them. market_cap and the multiples are the filing's; factor is the day's close
+    over the filing's price."""
     factor = F.when(c("close_price") > 0, c("close") / c("close_price"))
-    earned = F.try_divide(c("market_cap") + c("net_debt"), F.when(F.abs("ev_ebit") > tiny, c("ev_ebit")))
-    return panel.withColumn("ev_ebit", F.try_divide(c("market_cap") * factor + c("net_debt"), earned))
+    earned = lambda k: F.try_divide(c("market_cap") + c("net_debt"), F.when(F.abs(k) > tiny, c(k)))
+    return panel.withColumns({k: F.try_divide(c("market_cap") * factor + c("net_debt"), earned(k)) for k in ("ev_ebit", "ev_ebitda") if k in panel.columns})
 
 
 def suspected_splits(panel: DataFrame, days: int = 7, limit: float = 1.5) -> DataFrame:
@@ -66,9 +67,9 @@ def suspected_splits(panel: DataFrame, days: int = 7, limit: float = 1.5) -> Dat
     return panel.where(F.datediff("trade_date", "reference_date").between(0, days) & ~factor.between(1 / limit, limit)).select("ticker").distinct()
 
 
-def payout_ratios(panel: DataFrame, tiny: float = 1e-8) -> DataFrame:
+def payout_ratios(panel: DataFrame, last: str = "value_per_share", shares: str = "shares", tiny: float = 1e-8) -> DataFrame:
     """payout_ratio and dividend_coverage_ratio, of the last dividend, earnings a share, shares and EBITDA."""
-    return panel.withColumns({"payout_ratio": F.try_divide(c("value_per_share"), c("lpa") + tiny), "dividend_coverage_ratio": F.try_divide(c("ebitda"), c("value_per_share") * c("shares") + tiny)})
+    return panel.withColumns({"payout_ratio": F.try_divide(c(last), c("lpa") + tiny), "dividend_coverage_ratio": F.try_divide(c("ebitda"), c(last) * c(shares) + tiny)})
 
 
 def interpolated(days: DataFrame, knots: DataFrame, name: str) -> DataFrame:

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.asof import asof_dates, asof_join, trailing_events
-from panelspark.operators.features import cross_section, filing_features, macro_features, price_features, reanchor
+from panelspark.functions.columns import by_ticker
+from panelspark.operators.asof import asof_dates, asof_join
+from panelspark.operators.features import cross_section, dividend_features, filing_features, filing_trends, final_growth, history_ranks, macro_features, price_features, reanchor, valuation_ratios
+from panelspark.operators.statements import payout_ratios
 
 
 def build_panel(prices: DataFrame, filings: DataFrame, companies: DataFrame, macro: DataFrame, dividends: DataFrame, min_rows: int = 10) -> DataFrame:
-    """One row for each (ticker, trade_date) of active tickers with a filing and min_rows rows. Windows and as-of joins by
-    ticker share one partitioning; the company dimension and the calendar are the only other sides."""
-    covered = filings.select("ticker").distinct()
-    long = prices.groupBy("ticker").count().where(F.col("count") >= min_rows).select("ticker")
+    """One row for each (ticker, trade_date) of active tickers with a filing and min_rows rows, with all features.
+
+    Each table is read once, but for the dates of prices, which resolve the macro series as of each day. What belongs to a
+    ticker (counts, windows, dividends, filings as of a day) follows in one partitioning by ticker; last the panel is dealt by
+    day for what compares names. The company dimension and the calendar are the only other sides.
+    """
     active = companies.where("status = 'ATIVO'").select("ticker", "sector")
-    base = prices.join(covered, "ticker", "left_semi").join(long, "ticker", "left_semi").join(active, "ticker")
-    panel = price_features(base)
-    panel = trailing_events(panel, dividends, "ticker", "trade_date", "ex_date", "value_per_share", 252)
-    panel = panel.withColumn("div_yield_12m", F.when(F.col("adj_close") > 0, F.col("sum_events") / F.col("adj_close")).otherwise(0.0)).withColumnRenamed("n_events", "div_count_12m").drop("sum_events")
-    panel = asof_join(panel, filing_features(filings), ["ticker"], "trade_date", "reference_date")
-    panel = asof_dates(panel, macro.withColumnRenamed("reference_date", "macro_date"), "trade_date", "macro_date").drop("macro_date")
-    return cross_section(macro_features(reanchor(panel)))
+    base = asof_dates(prices, macro.withColumnRenamed("reference_date", "macro_date"), "trade_date", "macro_date").drop("macro_date").join(active, "ticker")
+    rows = F.count("*").over(Window.partitionBy("ticker"))
+    panel = price_features(base.withColumn("_rows", rows).where(F.col("_rows") >= min_rows).drop("_rows"))
+    panel = dividend_features(panel, dividends)
+    panel = asof_join(panel, final_growth(filing_features(filings)), ["ticker"], "trade_date", "reference_date", met=True)
+    panel = reanchor(macro_features(panel))
+    if {"lpa", "shares_outstanding"} <= set(panel.columns):
+        panel = payout_ratios(panel, "div_value_recent", "shares_outstanding")
+    panel = history_ranks(filing_trends(valuation_ratios(panel), over=by_ticker()))
+    return cross_section(panel)

@@ -35,6 +35,12 @@ def scan(spark: SparkSession, path: str, schema: str | StructType, columns: list
     return without_nan(df.select(*columns) if columns else df)
 
 
+def without_empty_columns(df: DataFrame) -> DataFrame:
+    """Drops the columns that hold no value in any row, found in one pass over the table."""
+    some = df.agg(*[F.count(c(f"`{k}`")).alias(k) for k in df.columns]).first()
+    return df.select(*[f"`{k}`" for k in df.columns if some[k]])
+
+
 def tickers(df: DataFrame) -> DataFrame:
     return df.select("ticker").dropna().distinct()
 

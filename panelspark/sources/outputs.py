@@ -38,6 +38,22 @@ def allocation_document(allocation: DataFrame) -> DataFrame:
     return allocation.groupBy("as_of", "days_old", "stale").agg(positions.alias("positions")).select(F.to_json(F.struct("as_of", "days_old", "stale", "positions")).alias("document"))
 
 
+def metric_document(metrics: DataFrame) -> DataFrame:
+    """One JSON text {strategy: {metric: value}} of (strategy, metric, value), which holds a row for each of a run's metrics."""
+    each = metrics.groupBy("strategy").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("_m"))
+    return each.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "_m"))))).alias("document"))
+
+
+def write_allocation(allocation: DataFrame, path: str) -> None:
+    """An allocation of one day as CSV files with a header."""
+    allocation.select("as_of", "ticker", "w", "days_old", "stale").write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_metadata(rows: DataFrame, path: str) -> None:
+    """Key-value metadata (key, value), by which a later run is compared with this one."""
+    rows.select("key", "value").write.mode("overwrite").json(path)
+
+
 def metadata_differences(stored: DataFrame, current: DataFrame) -> DataFrame:
     """(key, stored, current) of two tables (key, value) where they differ or one lacks the key."""
     a, b = stored.select("key", c("value").alias("stored")), current.select("key", c("value").alias("current"))

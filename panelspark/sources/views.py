@@ -43,6 +43,18 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumns({k: F.try_divide(c(a), c(b)) for k, (a, b) in ratios.items()}).drop("gm", "g", "n")
 
 
+def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fundamentals with shares, earnings a share, further multiples, and growth rates that their source has for some quarters."""
+    c, per, month = F.col, F.try_divide, F.month("reference_date")
+    out = fundamentals(spark, sf_dir).withColumn("ebit", c("ebitda") - 0.05 * c("total_assets"))
+    value = c("market_cap") + c("net_debt")
+    return out.withColumns({
+        "shares_outstanding": c("q"), "lpa": per(c("net_income"), c("q")), "p_sr": per(c("market_cap"), c("net_revenue")), "p_ebit": per(c("market_cap"), c("ebit")), "p_ebitda": per(c("market_cap"), c("ebitda")),
+        "p_assets": per(c("market_cap"), c("total_assets")), "ev_ebit": per(value, c("ebit")), "ev_ebitda": per(value, c("ebitda")),
+        "cagr_earnings_5y": F.when(month == 12, 100 * c("net_margin")), "cagr_revenue_5y": F.when(month.isin(6, 12), 100 * c("gross_margin")),
+    })
+
+
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, ex_date, value_per_share > 0."""
     rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F'")
@@ -78,6 +90,10 @@ f2 AS (SELECT *, close_price * q AS market_cap, g AS total_assets, total_debt -
 fundamentals AS (SELECT *, (net_revenue - 0.7::DOUBLE * g) / nullif(net_revenue, 0) AS gross_margin, net_income / nullif(net_revenue, 0) AS net_margin, net_income / nullif(equity, 0) AS roe,
     net_income / nullif(g, 0) AS roa, total_debt / nullif(equity, 0) AS debt_equity, current_assets / nullif(current_liabilities, 0) AS current_ratio, market_cap / nullif(net_income, 0) AS pl,
     market_cap / nullif(equity, 0) AS pvp FROM f2),
+filings AS (SELECT f.*, q AS shares_outstanding, net_income / nullif(q, 0) AS lpa, market_cap / nullif(net_revenue, 0) AS p_sr, market_cap / nullif(ebit, 0) AS p_ebit, market_cap / nullif(ebitda, 0) AS p_ebitda,
+    market_cap / nullif(total_assets, 0) AS p_assets, (market_cap + net_debt) / nullif(ebit, 0) AS ev_ebit, (market_cap + net_debt) / nullif(ebitda, 0) AS ev_ebitda,
+    CASE WHEN month(reference_date) = 12 THEN 100 * net_margin END AS cagr_earnings_5y, CASE WHEN month(reference_date) IN (6, 12) THEN 100 * gross_margin END AS cagr_revenue_5y
+    FROM (SELECT *, ebitda - 0.05::DOUBLE * total_assets AS ebit FROM fundamentals) f),
 dividends AS (SELECT * FROM (SELECT 'S' || l_suppkey AS ticker, l_shipdate::DATE AS ex_date, sum((l_extendedprice * l_discount)::DECIMAL(18,4))::DOUBLE / 1000 AS value_per_share
     FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1, 2) WHERE value_per_share > 0),
 macro AS (SELECT o_orderdate::DATE AS reference_date, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) / 1e7 AS selic, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) / 1e6 AS ipca FROM orders GROUP BY 1),

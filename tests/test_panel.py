@@ -5,7 +5,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from panelspark import catalog, catalog_research  # noqa: F401
+from panelspark import catalog, catalog_panel, catalog_research  # noqa: F401
 from panelspark.functions.columns import correlation
 from panelspark.operators import asof, audit, features, performance, portfolio, quality
 from panelspark.streaming.upsert import merged, stream_upsert
