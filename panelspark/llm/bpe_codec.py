@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from panelspark.llm.bpe import WORD_SPLIT, WORD_SPLIT_ASCII, heap_merge, rank_array_merge, vocabulary
 from panelspark.llm.common import small_batches, table, texts
@@ -52,14 +54,39 @@ class Written(dict):
         return out
 
 
+@lru_cache(1)
+def later_unicode() -> tuple[str, dict[int, str]]:
+    """Where the Unicode tables at hand differ, asked of the library itself: as ranges of a character class the letters and
+    numbers that `regex` knows but the library does not; and lower-case forms that only the library knows. All are among the
+    code points that unicodedata, the oldest of the three, does not know."""
+    unknown = "".join(ch for ch in map(chr, range(0x80, 0x110000)) if unicodedata.category(ch) == "Cn")
+    ranges: list[list[int]] = []
+    newer = "".join(regex.findall(r"[\p{L}\p{N}]", unknown))
+    other = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]+"), "removed").pre_tokenize_str(newer)
+    for at in map(ord, "".join(piece for piece, _ in other)):
+        if ranges and ranges[-1][1] == at - 1:
+            ranges[-1][1] = at
+        else:
+            ranges.append([at, at])
+    lower = normalizers.Lowercase()
+    forms = {ord(ch): low for ch in regex.findall(r"[^\P{Lu}]|\p{Lt}", unknown) if (low := lower.normalize_str(ch)) != ch}
+    if lower.normalize_str(unknown) != unknown.translate(forms):  # another form than a capital letter has one
+        forms = {ord(ch): low for ch in unknown if (low := lower.normalize_str(ch)) != ch}
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges), forms
+
+
 class Codec:
     """Encodes and decodes as a vocabulary file of word BPE says: canonical composition, white space to one space, lower
-    case, words by pattern, end-of-word suffix; no decoder, so decoding joins tokens by a space."""
+    case, words by pattern, end-of-word suffix; no decoder, so decoding joins tokens by a space. later: see later_unicode."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, later: tuple[str, dict[int, str]] | None = None):
         self.words, self.vocabulary = WordIds(path), vocabulary(path)
         self.written = Written(self.vocabulary.tokens)
         self.ascii, self.any = re.compile(WORD_SPLIT_ASCII, re.ASCII).findall, regex.compile(WORD_SPLIT).findall
+        ranges, self.forms = later or later_unicode()
+        self.odd = regex.compile("[" + ranges + "".join(f"\\U{k:08x}" for k in self.forms) + "]") if ranges or self.forms else None
+        known = WORD_SPLIT.replace(r"[^\s\p{L}\p{N}]+", f"(?:[^\\s\\p{{L}}\\p{{N}}]|[{ranges}])+").replace(r"\p{L}+", rf"[\p{{L}}--[{ranges}]]+").replace(r"|\p{N}|", rf"|[\p{{N}}--[{ranges}]]|")
+        self.exact = regex.compile(known, regex.V1).findall if ranges else self.any
 
     def encode_words(self, text: str) -> list[tuple[int, ...]]:
         """The ids of a whole text, a tuple for each word."""
@@ -78,8 +105,11 @@ class Codec:
         if text.isascii():
             return self.ascii(text.lower())
         text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
+        split = self.any
+        if self.odd and self.odd.search(text):
+            split, text = self.exact, text.translate(self.forms)
         # letter by letter: str.lower() of a whole word writes a final sigma in another way
-        return self.any("".join(map(str.lower, text)) if "Σ" in text else text.lower())
+        return split("".join(map(str.lower, text)) if "Σ" in text else text.lower())
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_words(text) for i in ids]
@@ -94,11 +124,13 @@ _codecs: dict[str, Codec] = {}
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) and decoded text of every text; see `digests` for the narrow form.
 
-    A null or empty text has no ids and decodes to the empty string. Repeated rows give repeated rows.
+    A null or empty text has no ids and decodes to the empty string. Repeated rows give repeated rows, an empty table none.
+    Other columns aren't read.
     """
+    later = later_unicode()
 
     def run(batches):
-        codec = _codecs.setdefault(tokenizer, Codec(tokenizer))
+        codec = _codecs.setdefault(tokenizer, Codec(tokenizer, later))
         for batch in small_batches(batches):
             ids = [codec.encode(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
@@ -112,11 +144,13 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encode_decode with both sequences hashed where they are made.
 
-    A null or empty text has 0 tokens and the hash of the empty string twice.
+    A null or empty text has 0 tokens and the hash of the empty string twice. Repeated rows give repeated rows, an empty
+    table none. Other columns aren't read.
     """
+    later = later_unicode()
 
     def run(batches):
-        codec = _codecs.setdefault(tokenizer, Codec(tokenizer))
+        codec = _codecs.setdefault(tokenizer, Codec(tokenizer, later))
         for batch in small_batches(batches):
             out = []
             for text in texts(batch):

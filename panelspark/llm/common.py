@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 #: Spark's setting by which a query's shuffle files are deleted when it ends, not when the driver collects its garbage.
@@ -55,6 +56,12 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def carried(docs: DataFrame, carry: tuple[str, ...], made: str) -> tuple[DataFrame, StructType]:
+    """doc_id, text and the columns that an operator hands through unchanged, and the schema of these beside the made ones."""
+    df = docs.select("doc_id", "text", *carry)
+    return df, StructType([*StructType.fromDDL(made).fields, *df.schema.fields[2:]])
+
+
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string")) % n

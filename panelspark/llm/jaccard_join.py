@@ -103,15 +103,15 @@ class Heavy:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, key, n) for each document, and rows (token, df) for tokens that are found again in a part of a partition."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
+    """A row (doc_id, mark, key, n) for each document, mark being the hash of its text, and rows (token, df) for tokens that are found again in a part of a partition."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 
     def frequent(held: list[np.ndarray]):
         tokens, df = np.unique(np.concatenate(held), return_counts=True)
         some = df > 1
         k, none = int(some.sum()), pa.nulls(int(some.sum()), pa.int64())
         if k:
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[some].view(np.int64)), pa.array(df[some])], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens[some].view(np.int64)), pa.array(df[some])], schema=schema)
 
     def run(batches):
         held, total, seen = [], 0, set()
@@ -120,7 +120,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(c)
                 keys = set_keys(sets)
                 none = pa.nulls(len(c), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first, len(c)), pa.array(keys.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first, len(c)), batch.column("mark").slice(c.first, len(c)), pa.array(keys.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), none, none], schema=schema)
                 for k, x in zip(keys.tolist(), sets):
                     if k not in seen:
                         seen.add(k)
@@ -132,7 +132,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         if held:
             yield from frequent(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n long, token long, df long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, key long, n long, token long, df long")
 
 
 def heavy_tokens(profiles: DataFrame, bound: int = HEAVY) -> Heavy:
@@ -372,7 +372,7 @@ def apart(rows: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links lead to, of every document.
+    """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) and mark (xxhash64 of the text) of every document.
 
     Two documents link when 100 * |intersection| >= 75 * |union| of their shingle sets. A null, empty or blank text has no
     shingles and its own id. Repeated rows give repeated rows; a row without an id keeps a null component unless it links
@@ -410,8 +410,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = stored(sets, "sets")
     roots = sets.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(sets.join(roots, "root").select("key", "component_id"), "components")
-    return ids.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return ids.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("mark")

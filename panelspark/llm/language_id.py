@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import crc_mod, small_batches, table, texts
+from panelspark.llm.common import carried, crc_mod, small_batches, table, texts
 from panelspark.llm.words import Chunk, chunks
 
 #: Documents of each language that the network learns from, about (chosen by a hash of the id), and words of each.
 SAMPLE_DOCS, SAMPLE_WORDS = 600, 60
+#: Languages that can be learned: those of most documents. Rarer values of a dirty column never reach the driver.
+LANGUAGES = 200
 #: The network: letters of its byte embedding, units of each direction; training steps, words of a step, learning rate.
 EMBED, UNITS, STEPS, BATCH, RATE, SEED = 12, 16, 700, 256, 0.01, 7
 #: A word's bytes are one sequence; longer words are cut into sequences of so many bytes.
@@ -163,10 +165,11 @@ class WordSums:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folds: int = 5) -> Network | None:
     """A network fitted to about sample_docs documents of each language among those whose crc32(doc_id) mod folds isn't 0.
 
-    Two passes: rows by language, then words of the sampled texts, drawn over the whole text. None if no row is labelled.
+    Two passes: rows by language, then words of the sampled texts, drawn over the whole text. None if no row is labelled, as
+    in an empty table. Repeated rows count each; columns other than doc_id, text and lang aren't read.
     """
     able = docs.where((crc_mod("doc_id", folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in able.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample_docs / n))])
@@ -185,12 +188,13 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folds: int = 5) -> Ne
     return train([p[2] for p in pairs], [p[1] for p in pairs]) if pairs else None
 
 
-def identify(docs: DataFrame, net: Network | None) -> DataFrame:
+def identify(docs: DataFrame, net: Network | None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score and n_positions of every document.
 
     Every byte of every word is a position with a probability for each language; a document's probabilities are their
     mean, lang_pred the likeliest language (the first by name among equals), score its probability. A text that is null
-    or has no letter is `und` with score 0, as is every text without a network. Repeated rows give repeated rows.
+    or has no letter is `und` with score 0, as is every text without a network. Repeated rows give repeated rows, an empty
+    table none. Columns named by carry are handed through; others aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     sums: list[WordSums] = []
@@ -212,9 +216,10 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                     n[c.first + i] = s
                     if letters[c.first + i]:
                         lang[c.first + i], score[c.first + i] = net.languages[k], min(1.0, float(total[i, k]) / s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "lang_pred", "score", "n_positions"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), *map(batch.column, carry)], ["doc_id", "lang_pred", "score", "n_positions", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_positions long")
+    df, schema = carried(docs, carry, "doc_id long, lang_pred string, score double, n_positions long")
+    return df.mapInArrow(run, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

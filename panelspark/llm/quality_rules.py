@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import small_batches, table
+from panelspark.llm.common import carried, small_batches, table
 from panelspark.llm.words import CHUNK, Chunk, chunks, grams, hashes, mix
 
 #: Buckets into which words and pairs of words are hashed; each model is so many numbers, at any size of the corpus.
@@ -114,11 +114,12 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray, n_buckets: int = BUCKETS) -
     return np.log((good + PRIOR) / (good.sum() + PRIOR * n_buckets)) - np.log((raw + PRIOR) / (raw.sum() + PRIOR * n_buckets))
 
 
-def quality_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """The counts, base_failed, llr (mean log ratio of a text's words and pairs of words) and kept of every document.
 
     A null, empty or blank text has no words: its counts and llr are 0 and it fails the base rules. Repeated rows give
-    repeated rows, an empty table none. kept is llr >= threshold where the base rules pass.
+    repeated rows, an empty table none. kept is llr >= threshold where the base rules pass. Columns named by carry
+    are handed through; others aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -140,9 +141,10 @@ def quality_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESH
             cols = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64)] * 5 + [np.zeros(0)]
             failed = (cols[0] < MIN_WORDS) | (100 * cols[4] > MAX_REPEAT_PERCENT * cols[0])
             kept = ~failed & (cols[5] >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols[:5]), pa.array(failed), pa.array(cols[5]), pa.array(kept)], ["doc_id", *names, "base_failed", "llr", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols[:5]), pa.array(failed), pa.array(cols[5]), pa.array(kept), *map(batch.column, carry)], ["doc_id", *names, "base_failed", "llr", "kept", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, llr double, kept boolean")
+    df, schema = carried(docs, carry, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, llr double, kept boolean")
+    return df.mapInArrow(run, schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,9 @@ from panelspark.llm.common import stored, table
 #: Rows that the trees are grown on, about (chosen by a hash of the id); every row is indexed. Trees, and the sample's
 #: rows in a leaf at most; a leaf holds more in proportion where the table is larger than the sample.
 SAMPLE, TREES, LEAF, SEED = 60_000, 8, 192, 5
-#: Leaves that a query visits in all trees together: this share of them, and so many at least. Vectors without structure
-#: need a share: of 51,282 isotropic ones in 64 dimensions 6 % of leaves give a recall of 0.85, 12 % of 0.95.
-SHARE, PROBES = 0.12, 48
+#: Leaves that a query visits in all trees together: as many as bring this recall among the sample's vectors, measured by
+#: brute force for so many of them, and PROBES at least.
+RECALL, ASKED, PROBES = 0.96, 100, 16
 #: Index rows (a tree's entry of a vector) that meet the queries in one group, about.
 GROUP = 20_000
 
@@ -97,9 +97,24 @@ class Forest:
         return out
 
 
+def leaves_needed(forest: Forest, x: np.ndarray, k: int, recall: float = RECALL, asked: int = ASKED) -> int:
+    """How many leaves, in order of the queue, hold the given share of the k true neighbours of some of the vectors x."""
+    n = sum(len(m) + 1 for m in forest.normals)
+    if len(x) < 2:
+        return n
+    of, found = forest.leaves(x), np.zeros(n, np.int64)
+    for i in np.random.default_rng(SEED).choice(len(x), min(asked, len(x)), replace=False):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argpartition(d, min(k, len(d) - 1) - 1)[:k] if len(d) > 1 else []
+        place = {leaf: at for at, leaf in enumerate(forest.probes(x[i], n))}
+        np.add.at(found, [min(place[leaf] for leaf in of[j].tolist()) for j in near if j != i], 1)
+    return int(np.searchsorted(np.cumsum(found), recall * found.sum())) + 1
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (array<double>) of the rows that take part: an id, a vector of the commonest length (the
-    shorter among equals), all components finite, not all zero. Of rows that are alike in both one is kept."""
+    shorter among equals), all components finite, not all zero."""
     fine = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     )
@@ -111,43 +126,48 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, probes: int = PRO
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` the k nearest rows found.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller vec_id. Rows that
-    `usable` drops take no part. Equal vectors are indexed once, by their k + 1 smallest ids: no result needs more. Some
-    leaves and the queries that visit them meet in a group of about GROUP rows; only each query's k best leave it.
+    `usable` drops take no part; of several vectors of one id the smallest in order of components does. Equal vectors are
+    indexed once, by their k + 1 smallest ids: no result needs more. Some leaves and the queries that visit them meet in a
+    group of about GROUP rows; a leaf that would hold more is parted by a hash of the id, and its queries go to each part.
+    Only each query's k best leave a group. An empty table gives no rows. Other columns aren't read.
     """
     spark = vectors.sparkSession
-    rows = stored(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
+    rows = stored(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     n = rows.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
     share = min(1.0, SAMPLE / n)
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < 1_000_003 * share).orderBy("vec_id").select("embedding").toArrow()
-    grown = Forest.grow(_matrix(sample["embedding"].combine_chunks()) if len(sample) else np.zeros((0, 1)))
+    sampled = _matrix(sample["embedding"].combine_chunks()) if len(sample) else np.zeros((0, 1))
+    grown = Forest.grow(sampled)
     forest = spark.sparkContext.broadcast(grown)
     same = Window.partitionBy("embedding").orderBy("vec_id")
     kept = rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
     n_groups = max(1, -(-n * len(grown.normals) // GROUP))
-    visits = max(probes, int(SHARE * sum(len(m) + 1 for m in grown.normals)))
+    visits = max(probes, leaves_needed(grown, sampled, k))
+    splits = max(1, -(-int(LEAF / share) // GROUP))
 
-    def group_of(leaves: np.ndarray) -> np.ndarray:
-        return ((leaves & 0xFFFFFFFF) * 31 + (leaves >> 32) * 7) % n_groups
+    def group_of(leaves: np.ndarray, part) -> np.ndarray:
+        return ((leaves & 0xFFFFFFFF) * 31 + (leaves >> 32) * 7 + part * 10_007) % n_groups
 
     def index(batches):
         for batch in batches:
             found = forest.value.leaves(_matrix(batch.column("embedding")))
+            part = np.array([hash(ids[0]) % splits for ids in batch.column("ids").to_pylist()], np.int64)
             for t in range(found.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(group_of(found[:, t])), pa.array(found[:, t]), batch.column("ids"), batch.column("embedding")], ["part", "leaf", "ids", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(group_of(found[:, t], part)), pa.array(found[:, t]), batch.column("ids"), batch.column("embedding")], ["part", "leaf", "ids", "embedding"])
 
     def ask(batches):
         for batch in batches:
             for i, q in enumerate(_matrix(batch.column("embedding"))):
-                leaves = np.array(forest.value.probes(q, visits), np.int64)
-                parts = group_of(leaves)
+                leaves = np.repeat(np.array(forest.value.probes(q, visits), np.int64), splits)
+                parts = group_of(leaves, np.arange(len(leaves)) % splits)
                 own = np.unique(parts)
                 take = pa.array([i] * len(own))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array([leaves[parts == g] for g in own], pa.list_(pa.int64())), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["part", "leaves", "query_id", "embedding"]
+                    [pa.array(own), pa.array([np.unique(leaves[parts == g]) for g in own], pa.list_(pa.int64())), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["part", "leaves", "query_id", "embedding"]
                 )
 
     def meet(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:

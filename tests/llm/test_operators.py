@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -222,10 +223,10 @@ def test_jaccard_join(spark, docs, none, real):
                 near[int(rng.integers(len(near)))] = "Zz"
             made.append((1000 + 10 * i + k, " ".join(near).upper() if k == 1 else " ".join(near)))
         made.append((5000 + i, " ".join(passage + list(rng.choice(words, int(rng.integers(1, 30)))))))
-    cases = [made, [(r.doc_id, r.text) for r in docs.where("doc_id <> 5 OR doc_id IS NULL").collect()], [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]]
+    cases = [made, [(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]]
     for rows in cases:
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=repr) == brute_components(rows)
+        assert sorted(map(tuple, jaccard_join.jaccard_components(df).drop("mark").collect()), key=repr) == brute_components(rows)
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
@@ -242,7 +243,31 @@ def test_jaccard_join_of_dealt_tokens(spark, monkeypatch, fanout):
             rows += [(100_000 * c + 100 * g + k, " ".join(near)) for c in range(6)]
     monkeypatch.setattr(jaccard_join, "FANOUT", fanout)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, F.expr("doc_id div 100000"))
-    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=repr) == brute_components(rows)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).drop("mark").collect()), key=repr) == brute_components(rows)
+
+
+def test_jaccard_join_finds_a_pair_whose_shingles_are_frequent(spark):
+    """Two sets that are alike, of shingles that more sets of another size hold than share a leader; extra columns clash."""
+    rng, words = np.random.default_rng(6), [f"w{i}" for i in range(44)]
+    a, b = words, [*words[:43], "other"]
+    rows = [(i, " ".join([*words[at : at + 24], f"own{i}"])) for i, at in enumerate([0] * 1100 + [20] * 1100)]
+    rows += [(100_000, " ".join(a)), (100_001, " ".join(b))]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(8)
+    found = jaccard_join.jaccard_components(df.withColumns({k: F.lit(1) for k in ("token", "key", "n", "mark", "pos")}))
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert got[100_000] == got[100_001] == 100_000 and {got[i] for i in range(1100)} == {0} and {got[i] for i in range(1100, 2200)} == {1100}
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        x = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        kept = x[rng.random(n) > rng.random() * 0.3]
+        y = np.sort(np.concatenate((kept, rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 6) + 1)), dtype=np.uint64))))
+        if len(y) and jaccard_join.alike(x, y):
+            a, b = (np.frombuffer(jaccard_join.sketch(v), np.uint16) for v in (x, y))
+            assert jaccard_join.may_link(a, b) and jaccard_join.may_link(b, a)
 
 
 def test_components_of_a_chain(spark):
@@ -255,6 +280,11 @@ def test_nearest(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     odd = [(100_000, None), (100_100, [0.0] * 64), (100_200, [float("nan")] * 64), (100_300, [None] * 64), (100_400, [1.0] * 3), (100_500, [0.5] * 64), *[(100_501 + i, [0.5] * 64) for i in range(15)]]
     both = vectors.union(spark.createDataFrame(odd, vectors.schema)).withColumn("leaf", F.lit("x"))
+    twice = spark.createDataFrame([(7, [9.0] * 64), (7, [0.25] * 64)], vectors.schema)
+    one = {tuple(map(float, r.embedding)) for r in vectors.where("vec_id = 7").collect()} | {(9.0,) * 64, (0.25,) * 64}
+    met = vector_search.nearest(vectors.union(twice), every=7).where("query_id = 7 AND rank = 1").first()
+    least, other = min(one), {r.vec_id: np.array(r.embedding, float) for r in vectors.where("vec_id <> 7").collect()}
+    assert met.score == float(np.sqrt(((other[met.vec_id] - np.array(least)) ** 2).sum()))
     rows = {r.vec_id: np.array(r.embedding, float) for r in both.collect() if r.vec_id < 100_000 or r.vec_id >= 100_500}
     got = defaultdict(list)
     for r in vector_search.nearest(both).orderBy("query_id", "rank").collect():
@@ -274,6 +304,13 @@ def test_url_filter(spark):
     captures = spark.createDataFrame([(1, "http://b.a.com/x/1", 12), (2, "HTTP://A.com/", 20), (3, "https://a.com", 9), (4, None, 12), (5, "junk", 12), (6, "http://a.com:80/", None), (7, "http://u@a.com/q", 31), (7, "http://u@a.com/q", 31), (8, "http://c.com/", 5)], "page_id long, url string, day int")
     got = sorted((r.page_id, r.n_rules, r.listed_days) for r in url_filter.evaluate(captures.withColumn("pattern", F.lit(1)), entries).collect())
     assert got == [(1, 2, 7), (2, 0, None), (3, 0, None), (4, 0, None), (5, 0, None), (6, 0, None), (7, 1, 1), (7, 1, 1), (8, 0, None)]
+    none = url_filter.evaluate(captures.limit(0), entries)
+    assert none.count() == 0 and url_filter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
+    clashing = url_filter.evaluate(captures.withColumns({k: F.lit(1) for k in ("n", "oldest", "patterns", "since", "held", "side")}), entries)
+    assert sorted((r.page_id, r.n_rules, r.listed_days) for r in clashing.collect()) == got
+    more = spark.createDataFrame([("1.2.3.4", 1, "add"), ("3.4", 1, "add"), ("z.org", 1, "add")], "pattern string, day int, action string")
+    asked = spark.createDataFrame([(1, "http://1.2.3.4/x", 5), (2, "http://A.z.org./", 5)], "page_id long, url string, day int")
+    assert sorted((r.page_id, r.n_rules) for r in url_filter.evaluate(asked, more).collect()) == [(1, 1), (2, 1)]
     assert compare(spark, "op3_url_filter", QUERIES["op3_url_filter"], ORACLE_SQL["op3_url_filter"], SF) == ""
 
 
@@ -283,11 +320,11 @@ def test_license_scan(spark, docs, none):
     assert [got[i].best for i in (1, 2, 3, 4)] == ["MIT", "Apache-2.0", None, "GPL-3.0"]
     assert got[1].differences == "" and got[3].n_blocks == 1
     assert license_scan.scan(none).count() == 0 and license_scan.scan(docs).where("n_found > 0").count() == 0
-    assert all(license_scan.classify(t) for t in license_scan.TEMPLATES.values())
+    assert all(name in licenses_in(t) for name, t in license_scan.TEMPLATES.items())
 
 
 def licenses_in(text):
-    return {x[0] for b in license_scan.blocks(text) for x in license_scan.classify(b)}
+    return {x[0] for x in license_scan.matcher().found(text)[1]}
 
 
 @pytest.mark.parametrize("name", license_scan.TEMPLATES)
@@ -299,6 +336,26 @@ def test_license_in_any_layout(name):
     assert name in licenses_in(other + notice + " " + other) and name in licenses_in(other.replace(". ", ".\n") + textwrap.fill(notice, 30) + "\n" + other)
 
 
+def test_license_winners_are_those_of_every_template_without_rank():
+    """Random notices with words left out and put in: what compression ranks is all that the wording confirms."""
+    rng, filler = np.random.default_rng(8), "the work may be used by all who like it and share some of its parts with others".split()
+    of = license_scan.matcher()
+    for name, text in list(license_scan.TEMPLATES.items()) * 3:
+        w = text.split()
+        for _ in range(int(rng.integers(0, 3))):
+            at = int(rng.integers(len(w)))
+            w[at : at + int(rng.integers(0, 2))] = [str(rng.choice(filler))] * int(rng.integers(0, 2))
+        around = [str(x) for x in rng.choice(filler, int(rng.integers(0, 120)))]
+        block = " ".join([*around, *w, *around[::-1]])
+        have = tuple(license_scan.words(block))
+        assert {x[0] for x in of.found(block)[1]} == {k for k in of.templates if of.confirmed(k, have)}, (name, block)
+
+
+def test_license_identifiers():
+    assert licenses_in("# SPDX-License-Identifier: MIT\nimport x") == {"SPDX-MIT"}
+    assert licenses_in(" * SPDX-License-Identifier: GPL-2.0-or-later") == {"SPDX-GPL-2.0-or-later"}
+
+
 def test_license_variants():
     by = "This work is licensed under a Creative Commons Attribution"
     assert licenses_in("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0"}
@@ -310,6 +367,55 @@ def test_license_variants():
     assert licenses_in("Released under the MIT License. All rights reserved.") == {"MIT", "All-rights-reserved"}
 
 
+def test_codec_equals_the_library_on_all_code_points():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from panelspark.llm.bpe_codec import Codec
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    codec, library = Codec(path), Tokenizer.from_file(path)
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    parts = [every[i : i + 400] for i in range(0, len(every), 400)]
+    texts = [" ".join(f"a{x}b" for x in p) for p in parts]
+    for p, text, want in zip(parts, texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert codec.encode(text) == want.ids, [hex(ord(x)) for x in p if codec.encode(f"a{x}b") != library.encode(f"a{x}b", add_special_tokens=False).ids][:5]
+
+
+def test_likelihood_ratio_equals_a_plain_one(spark):
+    from collections import Counter
+    from math import log
+
+    rows = [(1, "a b a b c"), (2, "A b x"), (3, None), (4, "x y z"), (4, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n, good = 1 << 16, {1, 3}
+
+    def of(text):
+        from panelspark.llm.quality_rules import buckets
+        from panelspark.llm.words import chunks
+
+        return [int(b) for c in chunks(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"]), lower=True) for b in buckets(c, n)[0]]
+
+    raw, trusted = Counter(b for _, t in rows for b in of(t)), Counter(b for i, t in rows if i in good for b in of(t))
+    ratio = lambda b: log((trusted[b] + 1) / (trusted.total() + n)) - log((raw[b] + 1) / (raw.total() + n))
+    got = {r.doc_id: r.llr for r in quality_rules.quality_rules(docs, quality_rules.log_ratios(docs, np.array(sorted(good)))).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(np.mean([ratio(b) for b in of(t)]) if t else 0.0, abs=1e-12)
+
+
+def test_language_of_cached_words_equals_a_plain_pass(spark):
+    net = language_id.train([b"alpha", b"beta", b"gamma", "größe".encode()] * 20, ["en", "en", "fr", "de"] * 20, steps=20)
+    texts = ["alpha beta größe alpha", "gamma " + "x" * 70 + " beta", "beta"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.identify(docs, net).collect():
+        total, n = np.zeros(len(net.languages)), 0
+        for w in texts[r.doc_id].encode().split():
+            for at in range(0, len(w), language_id.LONGEST):
+                y = net.label(np.frombuffer(w[at : at + language_id.LONGEST], np.uint8)[None])[0]
+                total, n = total + y.sum(0), n + len(y)
+        assert r.lang_pred == net.languages[int(total.argmax())] and r.score == pytest.approx(total.max() / n, rel=1e-5) and r.n_positions == n
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -333,9 +439,10 @@ def test_pipeline_stages_on_odd_rows(spark):
     rows = [(i, t, "en" if i % 2 else None, None, None, None, None, None, None) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([*rows, rows[len(TEXTS)], (None, prose[1], "en", "s", 1, "w", 0.5, True, 7)], schema)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        got = stage(spark, docs, SF)
+        got = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
         assert got.columns == docs.columns
-        assert got.where("doc_id IS NULL").count() == 0, name
+        if name != "deduplicate":  # a row without an id is judged as its text is
+            assert got.where("doc_id IS NULL").count() == got.where((F.col("text") == prose[1]) & F.col("doc_id").isNotNull()).count(), name
         assert got.exceptAll(docs).count() == 0, name
     kept = {r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, SF).collect()}
     first = len(TEXTS)
