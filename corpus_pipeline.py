@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, language identification, near-duplicate removal, packing.
 
-Each stage takes what the stage before it kept. The first three return rows of documents with all their columns; a stage
-judges the texts that it gets and joins its decisions back by doc_id. Of repeated rows of a doc_id all stay or go.
+Each stage takes what the stage before it kept. The first three return rows of documents with all their columns. The first
+two judge each row by itself, with or without an id, and carry it through. Of near copies one row stays: the one of the
+smallest doc_id, of rows that are alike in id and text one. A row without an id goes if it links with one that has an id,
+and one of rows without an id that are alike in text stays. Null, empty and blank texts fail the quality rules; very long
+ones are judged whole. Extra columns stay as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,19 +19,20 @@ from panelspark.llm.language_id import UNKNOWN, identify, learn
 from panelspark.llm.packing import pack
 from panelspark.llm.quality_rules import log_ratios, quality_rules, trusted_ids
 
-#: Score below which a document's language counts as unknown.
-LEAST_SCORE = 0.3
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row"))
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the kept ones; kept has each once. Null ids go."""
-    return docs.join(kept, "doc_id", "left_semi")
+#: Score below which a document's language counts as unknown.
+LEAST_SCORE = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents go whose texts fail the base rules or whose likelihood ratio is low."""
-    judged = quality_rules(docs, log_ratios(docs, trusted_ids(table(spark, sf_dir, "labels"))))
-    return _keep(docs, judged.where("kept").select("doc_id").distinct())
+    ratios = log_ratios(docs, trusted_ids(table(spark, sf_dir, "labels")))
+    return quality_rules(_whole(docs), ratios, carry=("whole_row",)).where("kept").select("whole_row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +41,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = learn(docs)
     if net is None:
         return docs
-    judged = identify(docs, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return _keep(docs, judged.select("doc_id").distinct())
+    return identify(_whole(docs), net, carry=("whole_row",)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("whole_row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of linked documents, whose texts are near copies, the one of smallest doc_id stays."""
-    found = stored(jaccard_components(docs), "kept")
-    return _keep(docs, found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    key = {"row_id": F.coalesce("doc_id", F.lit(0)), "row_null": F.col("doc_id").isNull()}
+    found = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(key)
+    found = stored(found.select(*key, F.col("mark").alias("row_mark")).distinct(), "kept")
+    left = docs.withColumns({**key, "row_mark": F.xxhash64("text")})
+    return left.join(found, found.columns, "left_semi").dropDuplicates(found.columns).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
