@@ -236,8 +236,8 @@ def k01(s, d):
     return merged(p, p.where("year(trade_date) >= 1996").withColumn("adj_close", F.col("adj_close") * 2), ["ticker", "trade_date"])
 
 
-def panel(s: SparkSession, d: str) -> DataFrame:
-    return build_panel(v.prices(s, d), v.filings(s, d), v.companies(s, d), v.macro(s, d), v.dividends(s, d))
+def panel(s: SparkSession, d: str, history: bool = True) -> DataFrame:
+    return build_panel(v.prices(s, d), v.filings(s, d), v.companies(s, d), v.macro(s, d), v.dividends(s, d), history=history)
 
 
 @query("p00_build_panel", "ticker trade_date reference_date sector div_count_12m days_since_fundamental", "log_return ma_20 drawdown pl pvp selic excess_return div_yield_12m momentum_vs_market_1m pvp_zscore_sector",
@@ -247,7 +247,7 @@ def panel(s: SparkSession, d: str) -> DataFrame:
        PRICE + ", a AS (SELECT px.*, sector, " + _full("avg", "adj_close", 20) + " AS ma_20, " + _full("sum", "log_return", 21) + """ AS r1 FROM px JOIN companies USING (ticker) WHERE status = 'ATIVO'),
        dv AS (SELECT p.ticker, p.trade_date, count(x.ex_date) AS n, coalesce(sum(value_per_share), 0) AS dsum FROM prices p LEFT JOIN dividends x ON p.ticker = x.ticker AND x.ex_date <= p.trade_date AND x.ex_date > p.trade_date - 252 GROUP BY ALL)""")
 def p00(s, d):
-    return panel(s, d)
+    return panel(s, d, history=False)
 
 
 @query("p07_rebalanced", "strategy date", "gross cost r", None)

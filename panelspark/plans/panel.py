@@ -11,9 +11,12 @@ from panelspark.operators.features import cross_section, dividend_features, fili
 from panelspark.operators.statements import payout_ratios
 
 
-def build_panel(prices: DataFrame, filings: DataFrame, companies: DataFrame, macro: DataFrame, dividends: DataFrame, min_rows: int = 10) -> DataFrame:
+def build_panel(prices: DataFrame, filings: DataFrame, companies: DataFrame, macro: DataFrame, dividends: DataFrame, min_rows: int = 10, history: bool = True) -> DataFrame:
     """One row for each (ticker, trade_date) of active tickers with a filing and min_rows rows, with all features.
 
+    history: with ranks in a ticker's own past. They go through Arrow by ticker, which needs every column; without them a
+    query computes no more than the columns that it shows.
+
     Each table is read once, but for the dates of prices, which resolve the macro series as of each day. What belongs to a
     ticker (counts, windows, dividends, filings as of a day) follows in one partitioning by ticker; last the panel is dealt by
     day for what compares names. The company dimension and the calendar are the only other sides.
@@ -27,5 +30,5 @@ def build_panel(prices: DataFrame, filings: DataFrame, companies: DataFrame, mac
     panel = reanchor(macro_features(panel))
     if {"lpa", "shares_outstanding"} <= set(panel.columns):
         panel = payout_ratios(panel, "div_value_recent", "shares_outstanding")
-    panel = history_ranks(filing_trends(valuation_ratios(panel), over=by_ticker()))
-    return cross_section(panel)
+    panel = filing_trends(valuation_ratios(panel), over=by_ticker())
+    return cross_section(history_ranks(panel) if history else panel)

@@ -40,8 +40,9 @@ def allocation_document(allocation: DataFrame) -> DataFrame:
 
 def metric_document(metrics: DataFrame) -> DataFrame:
     """One JSON text {strategy: {metric: value}} of (strategy, metric, value), which holds a row for each of a run's metrics."""
-    each = metrics.groupBy("strategy").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("_m"))
-    return each.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "_m"))))).alias("document"))
+    each = metrics.groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("metric", "value"))).alias("_m"))
+    every = F.sort_array(F.collect_list(F.struct("strategy", "_m")))
+    return each.agg(F.to_json(F.map_from_entries(F.transform(every, lambda e: F.struct(e["strategy"], F.map_from_entries(e["_m"]))))).alias("document"))
 
 
 def write_allocation(allocation: DataFrame, path: str) -> None:

@@ -4,10 +4,12 @@ import math
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark import catalog, catalog_panel, catalog_research  # noqa: F401
 from panelspark.functions.columns import correlation
-from panelspark.operators import asof, audit, features, performance, portfolio, quality
+from panelspark.operators import asof, audit, features, performance, portfolio, quality, reports
+from panelspark.sources import files, outputs
 from panelspark.streaming.upsert import merged, stream_upsert
 from tests.oracle import compare
 
@@ -57,6 +59,64 @@ def test_asof_takes_equal_days_keeps_nulls_and_rows(spark):
     assert column(asof.asof_join(left, right, ["ticker"], "trade_date", "d", 1), "y") == [None, None, 7.0]
 
 
+def test_asof_of_repeated_days_and_of_keys_without_rows(spark):
+    right = spark.createDataFrame([("A", DAY, 2.0, 1.0), ("A", DAY, 1.0, 9.0)], "ticker string, d date, x double, y double")
+    out = asof.asof_join(prices(spark, A=[1], B=[1]), right, ["ticker"], "trade_date", "d", met=True)
+    assert [(r.ticker, r.x, r.y) for r in out.collect()] == [("A", 2.0, 1.0)]
+
+
+def test_dividends_of_tickers_without_any(spark):
+    events = spark.createDataFrame([("A", DAY + timedelta(1), 1.0), ("A", DAY + timedelta(1), 3.0)], "ticker string, ex_date date, value_per_share double")
+    out = features.dividend_features(prices(spark, A=[2, 4], B=[1]), events)
+    assert column(out, "div_value_recent") == [None, 3.0] and column(out, "div_value_recent", "B") == [0.0]
+    assert column(out, "div_yield_12m") == [0.0, 1.0] and column(out, "div_count_12m", "B") == [0]
+
+
+def test_shares_of_the_past_equal_plain_ones(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    values = [float(x) for x in rng.integers(1, 9, 60)]
+    p = prices(spark, A=values).withColumn("adj_close", F.when(F.col("adj_close") != 5, F.col("adj_close")))
+    out = features.shares(p, {"all": "adj_close"}, {"last": ("adj_close", 7)})
+    x = [v if v != 5 else None for v in values]
+    known = [v for v in x if v is not None]
+    rank = lambda v: (sum(y < v for y in known) + (sum(y == v for y in known) + 1) / 2) / len(known)
+    assert column(out, "all") == [pytest.approx(rank(v)) if v is not None else None for v in x]
+    recent = [[y for y in x[max(0, i - 6) : i + 1] if y is not None] for i in range(60)]
+    assert column(out, "last") == [pytest.approx(sum(y <= v for y in r) / len(r)) if v is not None else None for v, r in zip(x, recent)]
+
+
+def test_normal_distribution(spark):
+    from statistics import NormalDist
+
+    from panelspark.functions.columns import normal_cdf
+
+    z = [-9.0, -3.3, -1.0, 0.0, 0.5, 2.0, 6.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(normal_cdf(F.col("z"))).collect()]
+    assert got == pytest.approx([NormalDist().cdf(x) for x in z], abs=2e-12)
+
+
+def test_gates_on_bad_and_empty_tables(spark):
+    p = prices(spark, A=[1, 2]).union(prices(spark, A=[1]))
+    found = {r["check"]: (r["n_bad"], r["passed"]) for r in reports.common_gate(p, "trade_date", ["close", "nothing"], F.lit(DAY - timedelta(2))).collect()}
+    assert found == {"empty": (0, True), "missing_columns": (1, False), "future_dates": (1, False), "repeated_dates": (1, True)}
+    none = p.where("false")
+    assert {r["check"] for r in reports.common_gate(none, "trade_date", [], F.current_date()).where("NOT passed").collect()} == {"empty"}
+    assert reports.value_gate(none, "close").where("NOT passed").first()["check"] == "all_null" and reports.audit_lines(none, "ticker", "trade_date", F.current_date()).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "b", 2.0), ("s", "a", 1.0)], "strategy string, metric string, value double")
+    assert outputs.metric_document(rows).first()["document"] == '{"s":{"a":1.0,"b":2.0}}'
+    outputs.write_allocation(spark.createDataFrame([(DAY, "A", 0.5, 0, False)], "as_of date, ticker string, w double, days_old int, stale boolean"), f"{tmp_path}/a")
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/a").first()["ticker"] == "A"
+    meta = spark.createDataFrame([("k", "1")], "key string, value string")
+    outputs.write_metadata(meta, f"{tmp_path}/m")
+    assert outputs.metadata_differences(spark.read.json(f"{tmp_path}/m"), meta).count() == 0
+    assert files.without_empty_columns(spark.createDataFrame([(1, None)], "a int, b string")).columns == ["a"]
+
+
 def test_no_look_ahead(spark):
     a, b = [100, 101, 103, 99, 98, 104], [100, 101, 103, 99, 5, 900]
     for name in ("log_return", "drawdown", "hl_ratio"):
@@ -113,7 +173,7 @@ def test_upsert_twice_and_late_correction(spark, tmp_path):
         stream_upsert(spark, f"{tmp_path}/in/*", one.schema, f"{tmp_path}/out", ["k"], f"{tmp_path}/ck")
     two.coalesce(1).write.parquet(f"{tmp_path}/in/b")
     stream_upsert(spark, f"{tmp_path}/in/*", one.schema, f"{tmp_path}/out", ["k"], f"{tmp_path}/ck")
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v=1").drop("v=").collect())) == [(1, "a"), (2, "c")]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").drop("_part").collect())) == [(1, "a"), (2, "c")]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
