@@ -168,8 +168,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, size: int = 2048, end_id:
 
     tokenizer, ranks: the same vocabulary as a file of the tokenizers and of the tiktoken library. A null or empty text
     is the end id alone. Repeated rows are packed as often as they come. An empty table gives no rows. Partitions are
-    packed apart, so nothing passes through one task; each leaves at most one sequence that is short. Memory follows
-    BLOCK and the longest document. A sequence_id is the partition's number and the window's in it.
+    packed apart, so nothing passes through one task; each leaves at most one sequence that is short. A stretch of BLOCK
+    tokens is planned by itself but for its last two windows, which are planned again with what follows: the plan is the best
+    of each stretch, not of the whole partition. Memory follows BLOCK and the longest document. Other columns aren't read. A sequence_id is the partition's number and the window's in it.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     types = [pa.int64()] * 7

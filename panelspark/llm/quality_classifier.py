@@ -142,7 +142,7 @@ def classify(docs: DataFrame, model: Machine | None) -> DataFrame:
     """doc_id and score of every document: the machine's probability of label 1.
 
     Null and empty texts have no words, only statistics, and are scored like any other; without a model the score is 0.5.
-    Repeated rows give repeated rows, an empty table none.
+    Repeated rows give repeated rows, an empty table none. Columns other than doc_id, text and n_chars aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
