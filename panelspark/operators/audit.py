@@ -59,7 +59,7 @@ def scalers(df: DataFrame, features: list[str], cutoffs: DataFrame, date: str =
     all_days = Window.partitionBy("feature")
     day = day.withColumn("_c", F.sum(c("n") * c("m")).over(all_days) / F.sum("n").over(all_days))
     d = c("m") - c("_c")
-    met = day.join(F.broadcast(cutoffs.select("window_id", "cutoff")), c(date) <= c("cutoff"))  # a handful of windows
+    met = day.join(cutoffs.select("window_id", "cutoff"), c(date) <= c("cutoff"))  # a handful of windows
     out = met.groupBy("window_id", "feature").agg(F.sum("n").alias("n"), F.first("_c").alias("_c"), F.sum(c("n") * d).alias("_s"), F.sum(c("n") * (c("v") + d * d)).alias("_q"))
     off = c("_s") / c("n")
     std = F.sqrt(F.greatest(c("_q") / c("n") - off * off, F.lit(0.0)))

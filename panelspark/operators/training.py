@@ -41,7 +41,7 @@ def scaled(panel: DataFrame, features: list[str], scalers: DataFrame, window_id:
     """(ticker, trade_date, feature, value): features less the mean over the deviation of one window's scalers (window_id,
     feature, mean, std), kept within the limit; missing ones are 0. Scalers are a row a feature."""
     long = panel.select("ticker", "trade_date", *[c(k).cast("double").alias(k) for k in features]).unpivot(["ticker", "trade_date"], features, "feature", "x")
-    one = F.broadcast(scalers.where(c("window_id") == window_id).select("feature", "mean", "std"))
+    one = scalers.where(c("window_id") == window_id).select("feature", "mean", "std")
     return long.join(one, "feature", "left").select("ticker", "trade_date", "feature", F.coalesce(clip((c("x") - c("mean")) / c("std"), -limit, limit), F.lit(0.0)).alias("value"))
 
 
@@ -67,7 +67,7 @@ def blended(weights: DataFrame, cash: float) -> DataFrame:
 def tagged(rows: DataFrame, spans: DataFrame, date: str, start: str, end: str, tag: str) -> DataFrame:
     """Rows inside a span (both ends included), with its tag; of overlapping ones the largest tag. Spans meet the distinct
     dates, which a calendar bounds."""
-    inside = rows.select(date).distinct().join(F.broadcast(spans.select(start, end, tag)), c(date).between(c(start), c(end)))
+    inside = rows.select(date).distinct().join(spans.select(start, end, tag), c(date).between(c(start), c(end)))
     return rows.join(inside.groupBy(date).agg(F.max(tag).alias(tag)), date)
 
 
