@@ -155,7 +155,7 @@ def w36(s, d):
        """SELECT ticker, trade_date, CASE WHEN vol IS NOT NULL THEN (rank() OVER (PARTITION BY ticker ORDER BY vol NULLS LAST) + (count(vol) OVER (PARTITION BY ticker, vol) - 1) / 2.0::DOUBLE) / count(vol) OVER (PARTITION BY ticker) END AS volatility_20d_percentile,
        len(list_filter(held, lambda x: x <= adj_close))::DOUBLE / len(held) AS price_percentile_5y FROM (SELECT *, """ + _full("stddev_samp", "log_return", 20) + " AS vol, list(adj_close) OVER (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 1259 PRECEDING AND CURRENT ROW) AS held FROM px)", PRICE)
 def w31(s, d):
-    return features.history_ranks(features.price_features(v.prices(s, d)))
+    return features.history_ranks(features.price_features(v.prices(s, d)).select("ticker", "trade_date", "adj_close", "volatility_20d"))
 
 
 @query("w35_sector_rank", "ticker trade_date", "share", "SELECT ticker, trade_date, (rank() OVER (PARTITION BY trade_date, sector ORDER BY adj_close) + (count(*) OVER (PARTITION BY trade_date, sector, adj_close) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY trade_date, sector) AS share FROM prices JOIN companies USING (ticker)")
