@@ -106,8 +106,10 @@ def _rows(batch: pa.RecordBatch):
 
 
 def inputs(docs: DataFrame) -> DataFrame:
-    """doc_id, text and n_chars; n_chars is 0 where docs has no such column."""
-    return docs.select("doc_id", "text", (F.col("n_chars") if "n_chars" in docs.columns else F.lit(0)).cast("long").alias("n_chars"))
+    """doc_id, text and n_chars; n_chars is 0 where docs has no such column, or one of something else than whole numbers."""
+    kind = dict(docs.dtypes).get("n_chars")
+    n_chars = F.lit(0) if kind is None else F.col("n_chars") if kind in ("tinyint", "smallint", "int", "bigint") else F.col("n_chars").cast("string").try_cast("long")
+    return docs.select("doc_id", "text", F.coalesce(n_chars.cast("long"), F.lit(0)).alias("n_chars"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 4, fold: int = 2) -> Machine | None:
