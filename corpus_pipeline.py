@@ -49,8 +49,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = {"row_id": F.coalesce("doc_id", F.lit(0)), "row_null": F.col("doc_id").isNull()}
     found = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(key)
     found = stored(found.select(*key, F.col("mark").alias("row_mark")).distinct(), "kept")
-    left = docs.withColumns({**key, "row_mark": F.xxhash64("text")})
-    return left.join(found, found.columns, "left_semi").dropDuplicates(found.columns).select(*docs.columns)
+    left = docs.select(*(v.alias(k) for k, v in key.items()), F.xxhash64("text").alias("row_mark"), F.struct(*docs.columns).alias("whole_row"))
+    return left.join(found, found.columns, "left_semi").dropDuplicates(found.columns).select("whole_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
