@@ -250,14 +250,6 @@ def p00(s, d):
     return panel(s, d, history=False)
 
 
-@query("p07_rebalanced", "strategy date", "gross cost r", None)
-def p07(s, d):
-    """Monthly equal-weight portfolios of all names that trade on a block's first day, at 10 basis points."""
-    p = features.training_returns(v.prices(s, d)).where("returns IS NOT NULL").select(F.col("trade_date").alias("date"), "ticker", (F.expm1("returns") / 10).alias("r"))
-    n = F.count("*").over(performance.Window.partitionBy("date"))
-    return performance.rebalanced(p, p.select(F.lit("equal_weight").alias("strategy"), "date", "ticker", (1 / n).alias("w")), 21, 0.001)
-
-
 def _returns(s, d) -> DataFrame:
     return features.training_returns(v.prices(s, d)).where("returns IS NOT NULL")
 

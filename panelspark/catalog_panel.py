@@ -376,8 +376,3 @@ def k08(s, d):
     p = v.prices(s, d)
     mark = lambda df: df.groupBy("ticker").agg(F.max("trade_date").alias("mark")).select(F.lit("prices").alias("source"), "ticker", "mark")
     return reports.checkpoint_rows(mark(p.where("year(trade_date) < 1996")), mark(p))
-
-
-@query("x12_effective_discount", "n", "gamma", "SELECT n, pow(0.99::DOUBLE, n) AS gamma FROM (VALUES (1), (5), (21)) t(n)")
-def x12(s, d):
-    return s.range(1).select(F.explode(F.array(F.lit(1), F.lit(5), F.lit(21))).alias("n")).withColumn("gamma", F.pow(F.lit(0.99), c("n")))

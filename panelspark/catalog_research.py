@@ -173,19 +173,6 @@ def m19(s, d):
     return significance.two_sample_ks(p.unpivot(["second"], ["adj_close", "log_return"], "feature", "x"))
 
 
-@query("m11_deflated_sharpe", "strategy n", "benchmark dsr", None)
-def m11(s, d):
-    """Trials are the Sharpe ratios of each ticker; without SQL: DuckDB has no normal distribution."""
-    every = _returns(s, d).select("ticker", F.expm1("returns").alias("r"))
-    return significance.deflated_sharpe(_market(s, d), significance.daily_sharpe(every, "ticker"))
-
-
-@query("m25_significance", "strategy n", "mean t_naive t_hac low high", None)
-def m25(s, d):
-    """Its parts have SQL of their own."""
-    return significance.significance(_market(s, d))
-
-
 @query("a22_share_below", "name", "value percent", "SELECT name, value, 100 * avg((x < value)::INT) AS percent FROM (SELECT strategy AS name, avg(r) / stddev_pop(r) AS value FROM m GROUP BY 1), (SELECT avg(exp(log_return) - 1) / nullif(stddev_pop(exp(log_return) - 1), 0) AS x FROM px WHERE abs(log_return) <= 1 GROUP BY ticker) WHERE x IS NOT NULL GROUP BY ALL", _M)
 def a22(s, d):
     every = _returns(s, d).select("ticker", F.expm1("returns").alias("r"))

@@ -78,6 +78,46 @@ def normal_cdf(z: Column, terms: int = 80) -> Column:
     return 0.5 + F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * z * series
 
 
+# Coefficients of the rational approximation of the normal quantile by P. J. Acklam, highest power first;
+# numerator and denominator in the middle, numerator and denominator in the tails, and where the tails begin.
+QUANTILE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+TAIL = 0.02425
+
+
+def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for k in coefficients[1:]:
+        out = out * x + k
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The value below which the standard normal distribution has the share p: a rational approximation by pieces, with one
+    Newton step on the distribution function where that is exact enough (up to 5 deviations; beyond, a relative 1.2e-9).
+    Null unless 0 < p < 1."""
+
+    def rough(p: Column) -> Column:
+        q, middle = F.sqrt(-2 * F.log(F.least(p, 1 - p))), p - 0.5
+        tail = _polynomial(QUANTILE[2], q) / _polynomial(QUANTILE[3], q)
+        return F.when((p <= 0) | (p >= 1), None).when(p < TAIL, tail).when(p > 1 - TAIL, -tail).otherwise(middle * _polynomial(QUANTILE[0], middle * middle) / _polynomial(QUANTILE[1], middle * middle))
+
+    step = lambda x: F.when(F.abs(x["z"]) < 5, x["z"] - (normal_cdf(x["z"]) - x["p"]) * math.sqrt(2 * math.pi) * F.exp(x["z"] * x["z"] / 2)).otherwise(x["z"])
+    named = F.transform(F.array(p), lambda v: F.struct(v.alias("p"), rough(v).alias("z")))
+    return F.transform(named, step)[0]
+
+
+def mapped(x: Column, names: dict[str, str]) -> Column:
+    """The name that a small mapping gives to x; x itself where it gives none."""
+    if not names:
+        return x
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in names.items() for v in pair]), x), x)
+
+
 def z_score(x: Column, over) -> Column:
     """(x - mean) / sample deviation of the group; null if the deviation is 0 or undefined."""
     deviation = F.stddev_samp(x).over(over)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import correlation, normal_cdf
+from panelspark.sources.scratch import kept
 
 c = F.col
 DAYS, TINY = 252, 1e-12
@@ -33,6 +34,14 @@ def metrics(returns: DataFrame) -> DataFrame:
     return out.withColumn("annualized_return", F.pow(1 + c("cumulative_return"), DAYS / c("n")) - 1)
 
 
+def drawdown_curve(returns: DataFrame, capital: float = 100_000.0) -> DataFrame:
+    """(strategy, date, value, drawdown): the value that the returns lead to, and how far it lies below its highest so far,
+    the capital included."""
+    by = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    curve = returns.select("strategy", "date", (capital * F.exp(F.sum(F.log1p("r")).over(by))).alias("value"))
+    return curve.withColumn("drawdown", 1 - c("value") / F.greatest(F.lit(capital), F.max("value").over(by)))
+
+
 def _sortino(x: Column) -> Column:
     fall = F.coalesce(F.stddev_pop(F.when(x < 0, x)), F.lit(TINY))
     return F.when(F.count(x) < 2, 0.0).otherwise(F.avg(x) / (fall + TINY) * math.sqrt(DAYS))
@@ -107,6 +116,7 @@ def rebalanced(returns: DataFrame, weights: DataFrame, every: int, cost: float)
     Inside a block V_d = sum w0 prod(1 + r), so a day's return is V_d / V_(d-1) - 1 without a loop. Turnover of a block is
     sum |w - w_drifted| against the end of the block before; its cost is taken from the block's first day.
     """
+    returns, weights = kept(returns.select("date", "ticker", "r"), "returns"), kept(weights.select("strategy", "date", "ticker", "w"), "weights")
     days = returns.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1)  # a row for each day
     days = days.withColumn("_block", F.floor(c("_i") / every))
     first = Window.partitionBy("_block").orderBy("_i")
@@ -114,7 +124,7 @@ def rebalanced(returns: DataFrame, weights: DataFrame, every: int, cost: float)
     target = weights.withColumnRenamed("date", "_start")
     held = days.join(returns, "date").join(target, ["_start", "ticker"])
     grown = Window.partitionBy("strategy", "_block", "ticker").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumn("_v", c("w") * F.product(1 + c("r")).over(grown))
+    held = kept(held.withColumn("_v", c("w") * F.product(1 + c("r")).over(grown)).select("strategy", "date", "ticker", "_i", "_block", "_v"), "held")
     value = held.groupBy("strategy", "date", "_i", "_block").agg(F.sum("_v").alias("_V"))
     before = F.coalesce(F.lag("_V").over(Window.partitionBy("strategy", "_block").orderBy("_i")), F.lit(1.0))
     end = Window.partitionBy("strategy", "_block")

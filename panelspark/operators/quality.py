@@ -59,6 +59,28 @@ def null_rates(df: DataFrame) -> DataFrame:
     return long.select("column", F.coalesce("n_null", F.lit(0)).alias("n_null"), F.try_divide(c("n_null"), c("_rows")).alias("rate"))
 
 
+def ticker_null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(ticker, column, n, n_null, rate): nulls of each column by ticker, in one pass."""
+    by = df.groupBy("ticker").agg(F.count("*").alias("n"), *[F.sum(c(k).isNull().cast("long")).alias(k) for k in columns])
+    return by.unpivot(["ticker", "n"], columns, "column", "n_null").withColumn("rate", c("n_null") / c("n"))
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """The rows that stand more than once in all columns, each once, with n, how often."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def excluded(companies: DataFrame, prices: DataFrame, filings: DataFrame, least: int = 10) -> DataFrame:
+    """(ticker, reason) of every company that the panel leaves out, by its first reason: not active, without filings, or with
+    too few prices."""
+    filed = filings.select("ticker").distinct().withColumn("_filed", F.lit(True))
+    traded = prices.groupBy("ticker").agg(F.count("*").alias("_n"))
+    met = companies.join(filed, "ticker", "left").join(traded, "ticker", "left")
+    active = F.coalesce(c("status") == "ATIVO", F.lit(False))
+    reason = F.when(~active, "not active").when(c("_filed").isNull(), "no filings").when(F.coalesce("_n", F.lit(0)) < least, "few prices")
+    return met.select("ticker", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def price_gate(prices: DataFrame) -> DataFrame:
     """(check, severity, n_bad): closes that aren't positive, negative volumes, repeated keys, long gaps."""
     prev = F.datediff("trade_date", F.lag("trade_date").over(by_ticker()))

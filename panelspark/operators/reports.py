@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from panelspark.functions.quantiles import exact_quantiles
 from panelspark.operators.asof import asof_dates
+from panelspark.sources.scratch import kept
 
 c = F.col
 
@@ -91,23 +93,24 @@ def universe_guard(panel: DataFrame, expected: int) -> DataFrame:
 
 def growth_coverage(filings: DataFrame, names: tuple[str, ...] = ("earnings", "revenue")) -> DataFrame:
     """(name, ...): nulls before and after the source's growth rates were filled up, differences where both rates are there,
-    and the spread of the final ones. Needs cagr_{name}_5y, its _calc and its _final."""
-    long = reduce(DataFrame.unionByName, [filings.select(F.lit(k).alias("name"), c(f"cagr_{k}_5y").alias("_a"), c(f"cagr_{k}_5y_calc").alias("_b"), c(f"cagr_{k}_5y_final").alias("_f")) for k in names])
+    and the spread of the final ones. Needs cagr_{name}_5y, its _calc and its _final. The median is exact, by selection."""
+    each = [F.struct(F.lit(k).alias("name"), c(f"cagr_{k}_5y").cast("double").alias("_a"), c(f"cagr_{k}_5y_calc").cast("double").alias("_b"), c(f"cagr_{k}_5y_final").cast("double").alias("_f")) for k in names]
+    long = kept(filings.select(F.explode(F.array(*each)).alias("r")).select("r.*"), "growth")
     away = F.abs(c("_a") - c("_b"))
-    return long.groupBy("name").agg(
+    out = long.groupBy("name").agg(
         F.sum(c("_a").isNull().cast("long")).alias("n_before"), F.sum(c("_f").isNull().cast("long")).alias("n_after"), F.count(away).alias("n_both"), F.avg(away).alias("mean_difference"), F.max(away).alias("max_difference"), F.stddev_samp(away).alias("std_difference"),
-        F.avg("_f").alias("mean"), F.median("_f").alias("middle"), F.min("_f").alias("least"), F.max("_f").alias("most"), F.sum((c("_f") > 100).cast("long")).alias("n_above"), F.sum((c("_f") < -100).cast("long")).alias("n_below"),
+        F.avg("_f").alias("mean"), F.min("_f").alias("least"), F.max("_f").alias("most"), F.sum((c("_f") > 100).cast("long")).alias("n_above"), F.sum((c("_f") < -100).cast("long")).alias("n_below"),
     )
+    return out.join(exact_quantiles(long, "name", "_f", [0.5]).select("name", c("quantiles")[0].alias("middle")), "name")
 
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, n_null, n_distinct, mean, std, least, q1, middle, q3, most) of each column, in one long pass."""
-    long = df.select([c(k).cast("double").alias(k) for k in columns]).unpivot([], columns, "feature", "x")
-    q = F.percentile("x", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    out = long.groupBy("feature").agg(
-        F.count("x").alias("n"), F.sum(c("x").isNull().cast("long")).alias("n_null"), F.countDistinct("x").alias("n_distinct"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), q.alias("_q"),
-    )
-    return out.select("*", *[c("_q")[i].alias(k) for i, k in enumerate(("q1", "middle", "q3"))]).drop("_q")
+    """(feature, n, n_null, n_distinct, mean, std, least, q1, middle, q3, most) of each column. Quartiles are exact, by selection
+    over counts of values, which also give the distinct ones; the columns are written once in long form for both passes."""
+    long = kept(df.select([c(k).cast("double").alias(k) for k in columns]).unpivot([], columns, "feature", "x"), "described")
+    out = long.groupBy("feature").agg(F.count("*").alias("_rows"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"))
+    ranks = exact_quantiles(long, "feature", "x", [0.25, 0.5, 0.75])
+    return out.join(ranks, "feature").select("feature", "n", (c("_rows") - c("n")).alias("n_null"), "n_distinct", "mean", "std", "least", *[c("quantiles")[i].alias(k) for i, k in enumerate(("q1", "middle", "q3"))], "most")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -123,6 +126,14 @@ def first_by(df: DataFrame, by: str, order: str) -> DataFrame:
     return least.select(by, "_r.*").select(*df.columns)
 
 
+def last_by(df: DataFrame, by: str, order: str) -> DataFrame:
+    """One row of each group: the one that is last by `order`, then by its other columns in turn. Rows without `order` stand
+    before all others."""
+    rest = [k for k in df.columns if k not in (by, order)]
+    most = df.groupBy(by).agg(F.max(F.struct(order, *rest)).alias("_r"))
+    return most.select(by, "_r.*").select(*df.columns)
+
+
 def agreement(left: DataFrame, right: DataFrame, keys: list[str], column: str) -> DataFrame:
     """One row for the keys that both sources have: n, mean and largest difference relative to the right, and the shares of
     rows within 1 and 5 percent."""

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import normal_cdf
+from panelspark.functions.columns import normal_cdf, normal_quantile
 from panelspark.operators.performance import hac_t
+from panelspark.sources.scratch import kept
 
 c = F.col
 EULER_GAMMA = 0.5772156649
@@ -28,7 +27,7 @@ def bootstrap_mean(returns: DataFrame, block: int, resamples: int = 2000, level:
     last block is cut so that a resample has n rows. Strategies below three rows have no interval.
     """
     by = Window.partitionBy("strategy").orderBy("date")
-    sums = returns.where("r IS NOT NULL").select("strategy", F.row_number().over(by).alias("_i"), F.sum("r").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("_p"))
+    sums = kept(returns.where("r IS NOT NULL").select("strategy", F.row_number().over(by).alias("_i"), F.sum("r").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("_p")), "sums")
     size = sums.groupBy("strategy").agg(F.max("_i").alias("n"), (F.max_by("_p", "_i") / F.max("_i")).alias("mean"))
     length = F.least(F.lit(block), c("n"))
     draws = size.where("n >= 3").select("strategy", "n", length.alias("_len"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b"))
@@ -65,17 +64,19 @@ def two_sample_ks(long: DataFrame, least: int = 6, parts: int = 64) -> DataFrame
     return near.join(F.broadcast(shift), ["feature", "_part"]).groupBy("feature", "n_first", "n_second").agg(F.max(away).alias("ks"))  # parts rows a feature
 
 
-def deflated_sharpe(returns: DataFrame, trials: DataFrame) -> DataFrame:
-    """(strategy, n, benchmark, dsr): probability that the daily Sharpe ratio exceeds the largest one expected of so many
-    trials (a column s of daily Sharpe ratios) by chance; with fewer than two trials, or none that differ, that it exceeds 0.
-    Only the number of trials, one row, goes through the normal quantile in Python."""
+def expected_max(trials: DataFrame) -> DataFrame:
+    """(n_trials, deviation, benchmark): the largest daily Sharpe ratio expected of so many trials (a column s) that differ by
+    chance alone; 0 for fewer than two trials, or ones that don't differ. Null ratios are no trials."""
+    n = c("n_trials").cast("double")
+    largest = (1 - EULER_GAMMA) * normal_quantile(1 - 1 / n) + EULER_GAMMA * normal_quantile(1 - 1 / (n * math.e))
+    found = trials.agg(F.count("s").alias("n_trials"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("deviation"))
+    return found.withColumn("benchmark", F.when((c("n_trials") < 2) | (c("deviation") <= 0), 0.0).otherwise(c("deviation") * largest))
 
-    @F.pandas_udf("double")
-    def largest(n: pd.Series) -> pd.Series:
-        quantile = NormalDist().inv_cdf
-        return n.map(lambda k: 0.0 if k < 2 else (1 - EULER_GAMMA) * quantile(1 - 1 / k) + EULER_GAMMA * quantile(1 - 1 / (k * math.e)))
 
-    chance = trials.agg(F.count("s").alias("_n"), F.coalesce(F.stddev_pop("s"), F.lit(0.0)).alias("_d")).select((largest("_n") * c("_d")).alias("benchmark"))
+def deflated_sharpe(returns: DataFrame, trials: DataFrame) -> DataFrame:
+    """(strategy, n, benchmark, dsr): probability that the daily Sharpe ratio exceeds the largest one expected of so many
+    trials (a column s of daily Sharpe ratios) by chance; with fewer than two trials, or none that differ, that it exceeds 0."""
+    chance = expected_max(trials).select("benchmark")
     m = returns.groupBy("strategy").agg(F.count("r").alias("n"), F.try_divide(F.avg("r"), F.stddev_pop("r")).alias("s"), F.skewness("r").alias("g"), (F.kurtosis("r") + 3).alias("k"))
     m = m.join(F.broadcast(chance))  # one row
     spread = 1 - c("g") * c("s") + (c("k") - 1) / 4 * c("s") * c("s")
@@ -95,13 +96,26 @@ def excess(returns: DataFrame, against: str) -> DataFrame:
 
 
 def significance(returns: DataFrame, lags: int = 21, block: int = 21, resamples: int = 2000) -> DataFrame:
-    """By strategy: the mean with its naive t, its Newey-West t and its bootstrap interval."""
+    """By strategy: the mean with its naive t, its Newey-West t and its bootstrap interval, all of one stored series."""
+    returns = kept(returns.select("strategy", "date", "r"), "series")
     naive = returns.groupBy("strategy").agg(F.try_divide(F.avg("r"), F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("t_naive"))
     return bootstrap_mean(returns, block, resamples).join(naive, "strategy").join(hac_t(returns, lags).select("strategy", "t_hac"), "strategy")
 
 
 def share_below(values: DataFrame, null: DataFrame) -> DataFrame:
-    """(name, value, percent): how many percent of the null distribution (a column x of one row a rollout) lie below each of a
-    handful of named values, which are sent to it."""
-    met = null.where("x IS NOT NULL").join(F.broadcast(values.select("name", "value")))
-    return met.groupBy("name", "value").agg((100 * F.avg((c("x") < c("value")).cast("double"))).alias("percent"))
+    """(name, value, percent): how many percent of the null distribution (a column x of one row a rollout) lie below each named
+    value; null percent where there is none.
+
+    Both sides are cut at quantiles of the null distribution. Whole cuts below a value's are counted by running sums, and only
+    inside its own cut does a value meet the null values, by one window over both, so neither side is sent to the other.
+    """
+    x = null.select(c("x").cast("double").alias("x")).where("x IS NOT NULL")
+    cuts = F.array(*map(F.lit, sorted(set(x.approxQuantile("x", [i / 64 for i in range(1, 64)], 0.002))))).cast("array<double>")
+    both = x.select(F.lit(None).cast("string").alias("name"), "x", F.lit(1).alias("_n")).unionByName(values.select("name", c("value").cast("double").alias("x"), F.lit(0).alias("_n")))
+    both = both.withColumn("_part", F.size(F.filter(cuts, lambda v: v < c("x"))))
+    # values of equal x stand before the null ones, so those that equal a value aren't below it
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy("x", "_n").rowsBetween(Window.unboundedPreceding, 0))
+    held = both.groupBy("_part").agg(F.sum("_n").alias("_held"))
+    before = held.select("_part", (F.sum("_held").over(Window.orderBy("_part")) - c("_held")).alias("_before"))  # a row for each of 64 cuts
+    named = both.withColumn("_inside", inside).where("_n = 0").join(before, "_part")
+    return named.join(held.agg(F.sum("_held").alias("_all"))).select("name", c("x").alias("value"), F.when(c("x").isNotNull(), 100 * F.try_divide(c("_before") + c("_inside"), c("_all"))).alias("percent"))  # one row on the right

@@ -109,3 +109,11 @@ def rebased(series: DataFrame, by: str, date: str, value: str, base: float = 100
     """rebased: value over the group's first one that isn't null, times base."""
     first = F.first(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(date).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return series.withColumn("rebased", base * F.try_divide(c(value), first))
+
+
+def growth_rate(series: DataFrame, by: str, date: str, value: str) -> DataFrame:
+    """(by, first, last, years, growth) of each group's curve: yearly growth in percent from its first to its last value that
+    isn't null; null over no time, or where either isn't positive."""
+    known = series.where(c(value).isNotNull() & c(date).isNotNull()).groupBy(by).agg(F.min_by(value, date).alias("first"), F.max_by(value, date).alias("last"), (F.datediff(F.max(date), F.min(date)) / 365.25).alias("years"))
+    rate = F.when((c("years") > 0) & (c("first") > 0) & (c("last") > 0), 100 * (F.pow(c("last") / F.nullif(c("first"), F.lit(0.0)), F.try_divide(F.lit(1.0), c("years"))) - 1))
+    return known.withColumn("growth", rate)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import clip, correlation, filled
 from panelspark.operators.asof import asof_dates
+from panelspark.operators.grid import grid
 from panelspark.operators.performance import cash_price
 from panelspark.operators.portfolio import normalised
 
@@ -45,6 +46,14 @@ def scaled(panel: DataFrame, features: list[str], scalers: DataFrame, window_id:
     return long.join(one, "feature", "left").select("ticker", "trade_date", "feature", F.coalesce(clip((c("x") - c("mean")) / c("std"), -limit, limit), F.lit(0.0)).alias("value"))
 
 
+def scaled_grid(panel: DataFrame, features: list[str], scalers: DataFrame, window_id: int, limit: float = 10.0) -> DataFrame:
+    """(date, ticker, feature, active, value): scaled features of every cell of calendar times universe; inactive cells and
+    missing values are 0."""
+    cells = grid(panel, features).withColumnRenamed("date", "trade_date")
+    state = cells.select("trade_date", "ticker", "active").distinct()
+    return scaled(cells, features, scalers, window_id, limit).join(state, ["trade_date", "ticker"]).select(c("trade_date").alias("date"), "ticker", "feature", "active", F.when(c("active"), c("value")).otherwise(0.0).alias("value"))
+
+
 def market_return(returns: DataFrame) -> DataFrame:
     """(trade_date, n, ew_log): log of one plus the day's mean simple return over all names but cash; missing returns count
     as 0, and a mean below -0.9999 as that."""

@@ -53,7 +53,12 @@ class PagedReader(DataSourceReader):
         page = partition.first
         while True:
             mark = "&" if "?" in self.url else "?"
-            rows = fetch(f"{self.url}{mark}{urlencode({'limit': self.limit, 'offset': page * self.limit})}", base=self.base)
+            try:
+                rows = fetch(f"{self.url}{mark}{urlencode({'limit': self.limit, 'offset': page * self.limit})}", base=self.base)
+            except urllib.error.HTTPError as e:
+                if e.code != 404 or not page:
+                    raise
+                return  # a page past the end
             yield from (tuple(r.get(k) for k in self.names) for r in rows)
             if len(rows) < self.limit:
                 return
@@ -63,7 +68,8 @@ class PagedReader(DataSourceReader):
 class PagedJson(DataSource):
     """format("paged_json"): a list of objects a page, asked by limit and offset until a page is short. Options: url, limit
     (100), parallel (4: so many tasks, of which task k reads pages k, k + parallel, ...), base (1.0: first wait in seconds).
-    The schema names the objects' fields; those that are missing are null. A task that runs again reads its pages again."""
+    The schema names the objects' fields; those that are missing are null. A page
+    after the first that isn't found (404) is past the end. A task that runs again reads its pages again."""
 
     @classmethod
     def name(cls) -> str:

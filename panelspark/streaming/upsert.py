@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.streaming.store import Store, stream_into
+
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Both tables' rows, one for each key: a new row wins over an old one."""
@@ -13,20 +15,10 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_batch")
 
 
-def stream_upsert(spark: SparkSession, source: str, schema, target: str, keys: list[str], checkpoint: str, parts: int = 64) -> None:
-    """Loads the new Parquet files of a folder into a target table, whose rows lie in `parts` partitions by a hash of their
-    keys: a batch rewrites the partitions that it touches and no others. A batch that is run again, whole or in part, gives
-    the same table, as its rows win over equal ones. Returns when all files are loaded."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        new = batch.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
-        touched = [r[0] for r in new.select("_part").distinct().collect()]  # at most `parts`
-        path = session._jvm.org.apache.hadoop.fs.Path(target)
-        there = path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path)
-        old = session.read.schema(new.schema).parquet(target).where(F.col("_part").isin(touched)) if there else new.limit(0)
-        merged(old, new, keys).repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(target)
-        new.unpersist()
-
-    query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def stream_upsert(spark: SparkSession, source: str, schema, target: str, keys: list[str], checkpoint: str, parts: int = 64, sequence: str | None = None) -> DataFrame:
+    """Loads the new Parquet files of a folder into a versioned store and returns its table. `sequence` names the column of the
+    fetch sequence, of which the highest wins; without one a later batch does. A run that was stopped anywhere loses no row,
+    and a batch that is run again gives the same table."""
+    store = Store(spark, target, keys, parts)
+    stream_into(spark, source, schema, store, checkpoint, sequence)
+    return store.read()
