@@ -11,7 +11,7 @@ from panelspark.catalog import _M, _R, _WINDOWS, PRICE, _market, _returns, _wind
 from panelspark.catalog_panel import _phi
 from panelspark.functions.columns import QUANTILE, TAIL, mapped
 from panelspark.operators import audit, features, grid, performance, quality, ranges, reports, significance, statements, training
-from panelspark.sources import arrays, router
+from panelspark.sources import arrays, files, outputs, router
 from panelspark.sources import views as v
 from panelspark.sources.scratch import scratch_dir
 from panelspark.streaming.store import Store
@@ -239,3 +239,82 @@ def x10(s, d):
 def x12(s, d):
     """The discount that a step's 0.99 comes to over all of a ticker's days."""
     return v.prices(s, d).groupBy("ticker").agg(F.count("*").alias("n")).withColumn("gamma", F.pow(F.lit(0.99), c("n")))
+
+
+@query("s01_scanned_prices", "ticker trade_date", "adj_close volume", "SELECT ticker, trade_date, adj_close, volume FROM prices WHERE ticker IN ('S1', 'S2', 'S7') AND trade_date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31'")
+def s01(s, d):
+    """Files of prices by the fixed schema, of which the scan takes some columns, tickers and dates."""
+    path = scratch_dir(s, "prices")
+    v.prices(s, d).write.parquet(path)
+    return files.scan(s, path, "prices", ["ticker", "trade_date", "adj_close", "volume"], ["S1", "S2", "S7"], "1993-01-01", "1996-12-31")
+
+
+@query("s08_listed_tickers", "ticker", "", "SELECT DISTINCT ticker FROM prices")
+def s08(s, d):
+    """The tickers of a folder of files, by their names."""
+    path = scratch_dir(s, "named")
+    v.prices(s, d).repartition("ticker").write.partitionBy("ticker").parquet(path)
+    return files.tickers_of_files(s, path, r"ticker=([^/]+)/[^/]+\.parquet$").select("ticker").distinct()
+
+
+@query("s09_logs", "run file_is_json", "log_return", "SELECT strategy AS run, true AS file_is_json, sum(ln(1 + r)) AS log_return FROM m GROUP BY strategy", _M)
+def s09(s, d):
+    """Each strategy's run logged as lines of JSON, of which the folder tells the run."""
+    path = scratch_dir(s, "logs")
+    m = _market(s, d).select("strategy", c("date").cast("string").alias("date"), F.log1p("r").alias("log_return"))
+    m.withColumn("run", c("strategy")).repartition("run").write.partitionBy("run").json(path)
+    rows = files.training_logs(s, path, "date date, strategy string, log_return double")
+    return rows.groupBy(F.regexp_extract("run", "([^=]+)$", 1).alias("run")).agg(F.min(c("file").endswith(".json")).alias("file_is_json"), F.sum("log_return").alias("log_return"))
+
+
+@query("s10_metric_documents", "strategy metric", "value", "SELECT strategy, unnest(['mean', 'volatility', 'days']) AS metric, unnest([avg(r), stddev_pop(r), count(*)]) AS value FROM m GROUP BY strategy", _M)
+def s10(s, d):
+    """The strategies' metrics written as one JSON document and read back."""
+    by = _market(s, d).groupBy("strategy").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("volatility"), F.count("*").cast("double").alias("days"))
+    path = scratch_dir(s, "metrics")
+    outputs.metric_document(by.unpivot(["strategy"], ["mean", "volatility", "days"], "metric", "value")).write.text(path)
+    return files.metric_documents(s, path)
+
+
+@query("f05_listed", "ticker sector", "", "SELECT ticker, sector FROM companies WHERE regexp_full_match(ticker, 'S[0-9]*[3-8]') OR ticker = 'S10'")
+def f05(s, d):
+    return files.listed(v.companies(s, d), "^S[0-9]*[3-8]$", ("S10",))
+
+
+@query("f08_numeric_columns", "column", "mean", "SELECT 'adj_close' AS \"column\", avg(adj_close) AS mean FROM prices UNION ALL SELECT 'high', avg(high) FROM prices UNION ALL SELECT 'volume', avg(volume) FROM prices")
+def f08(s, d):
+    """The means of the floating columns that aren't skipped."""
+    p = v.prices(s, d)
+    names = reports.numeric_columns(p, ("low", "close"))
+    return p.agg(*[F.avg(k).alias(k) for k in names]).unpivot([], names, "column", "mean")
+
+
+@query("f17_tickers", "ticker", "", "SELECT DISTINCT CASE WHEN volume > 20 THEN ticker END AS ticker FROM prices WHERE volume > 20")
+def f17(s, d):
+    return files.tickers(v.prices(s, d).withColumn("ticker", F.when(c("volume") > 20, c("ticker"))))
+
+
+@query("k07_allocation", "as_of ticker days_old stale", "w", "SELECT DATE '1999-03-02' AS as_of, ticker, volume / sum(volume) OVER () AS w, 1 AS days_old, false AS stale FROM prices WHERE trade_date = (SELECT max(trade_date) FROM prices WHERE trade_date <= DATE '1996-03-04')")
+def k07(s, d):
+    """A day's weights written as CSV and read back."""
+    p = v.prices(s, d).where("trade_date <= '1996-03-04'")
+    day = p.join(p.agg(F.max("trade_date").alias("trade_date")), "trade_date")
+    path = scratch_dir(s, "allocation")
+    outputs.write_allocation(day.select("ticker", (c("volume") / F.sum("volume").over(performance.Window.partitionBy("trade_date"))).alias("w"), F.lit("1999-03-02").cast("date").alias("as_of"), F.lit(1).alias("days_old"), F.lit(False).alias("stale")), path)
+    return s.read.schema("as_of date, ticker string, w double, days_old int, stale boolean").option("header", "true").csv(path)
+
+
+@query("k09_metadata_differences", "key stored current", "", """SELECT * FROM (SELECT key, a.value AS stored, b.value AS current FROM (SELECT sector AS key, count(*)::VARCHAR AS value FROM companies GROUP BY 1) a FULL JOIN (SELECT sector AS key, count(*)::VARCHAR AS value FROM companies WHERE status = 'ATIVO' AND sector <> 'ASIA' GROUP BY 1) b USING (key)) WHERE stored IS DISTINCT FROM current""")
+def k09(s, d):
+    """Companies by sector, as stored by one run, against the active ones of another."""
+    count = lambda df: df.groupBy(c("sector").alias("key")).agg(F.count("*").cast("string").alias("value"))
+    path, k = scratch_dir(s, "metadata"), v.companies(s, d)
+    outputs.write_metadata(count(k), path)
+    return outputs.metadata_differences(s.read.schema("key string, value string").json(path), count(k.where("status = 'ATIVO' AND sector <> 'ASIA'")))
+
+
+@query("s20_other_dividends", "ticker ex_date type adjusted", "", "SELECT ticker, ex_date, 'DIVIDEND' AS type, true AS adjusted, value_per_share FROM dividends WHERE ticker NOT LIKE '%1'", plain="value_per_share")
+def s20(s, d):
+    """Dividends of another source, which books some tickers' as negative, in the columns of the first one."""
+    other = v.dividends(s, d).select("ticker", "ex_date", F.when(c("ticker").like("%1"), -c("value_per_share")).otherwise(c("value_per_share")).alias("paid"))
+    return files.other_dividends(other, "ex_date", "paid")

@@ -85,6 +85,13 @@ def parsed_rates(raw: DataFrame, name: str) -> DataFrame:
     return raw.select(F.try_to_date("data", "dd/MM/yyyy").alias("reference_date"), value.alias(name)).dropna()
 
 
+def other_dividends(paid: DataFrame, date: str, value: str) -> DataFrame:
+    """The dividends table of a source that has dates and amounts alone: amounts above 0, of one type, adjusted for splits, with
+    no day of payment."""
+    kept = paid.where(c(value) > 0).select("ticker", c(date).cast("date").alias("ex_date"), c(value).cast("double").alias("value_per_share"))
+    return kept.select("ticker", "ex_date", F.lit(None).cast("date").alias("payment_date"), F.lit("DIVIDEND").alias("type"), "value_per_share", F.lit(True).alias("adjusted"))
+
+
 def high_water_mark(df: DataFrame, date: str = "trade_date") -> DataFrame:
     """(ticker, mark): each ticker's last date, from where fetching goes on."""
     return df.groupBy("ticker").agg(F.max(date).alias("mark"))

@@ -17,6 +17,7 @@ from panelspark.functions.quantiles import exact_quantiles
 from panelspark.operators import grid, ranges, significance
 from panelspark.sources import arrays, dated, files, http, router
 from panelspark.streaming import store as stores
+from panelspark.streaming.rollout import portfolio_stream
 from panelspark.streaming.upsert import stream_upsert
 
 PUSH = "spark.sql.python.filterPushdown.enabled"
@@ -346,3 +347,33 @@ def test_tickers_of_files_with_unreadable_bodies(spark, tmp_path):
     (tmp_path / "PETR4.parquet").chmod(0)
     got = files.tickers_of_files(spark, str(tmp_path))
     assert {(r.ticker, r.bytes) for r in got.collect()} == {("PETR4", 18), ("VALE3", 18)}
+
+
+def test_portfolio_stream_goes_on_with_its_weights(spark, tmp_path):
+    rng, day = np.random.default_rng(1), dt.date(2020, 1, 1)
+    names = ["A", "B", "C"]
+    data = [(s, day + dt.timedelta(i), t, None if (i, t) == (4, "B") else float(rng.normal(0, 0.02)), float(w) if i % 5 == 0 else None) for s in ("x", "y") for i in range(14) for t, w in zip(names, rng.dirichlet((1, 1, 1))) if not (s == "y" and i % 4 == 3 and t == "C")]
+    data += [("x", None, "A", 1.0, 1.0), ("x", day, None, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "strategy string, date date, ticker string, r double, target double")
+    want = []
+    for s in ("x", "y"):
+        w, value, peak = {}, 100.0, 100.0
+        for i in range(14):
+            mine = {t: (r or 0.0, x) for a, d, t, r, x in data if a == s and d == day + dt.timedelta(i) and t}
+            cost = 0.0
+            if any(x is not None for _, x in mine.values()):
+                goal = {t: x for t, (_, x) in mine.items() if x}
+                cost = 0.001 * sum(abs(goal.get(t, 0) - w.get(t, 0)) for t in names)
+                w = goal
+            gross = sum(v * mine.get(t, (0.0, 0))[0] for t, v in w.items())
+            value *= 1 + gross - cost
+            peak = max(peak, value)
+            want.append((s, day + dt.timedelta(i), cost, value, 1 - value / peak))
+            w = {t: v * (1 + mine.get(t, (0.0, 0))[0]) / (1 + gross) for t, v in w.items()}
+    for name, chunk in (("a", df.where("date < '2020-01-08' OR date IS NULL")), ("b", df.where("date >= '2020-01-06'"))):  # two days come again
+        chunk.coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        rows_ = portfolio_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in/*"), 0.001, 100.0)
+        rows_.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("strategy", "date").collect()
+    assert [(r.strategy, r.date) for r in got] == [x[:2] for x in want]
+    assert np.allclose([(r.cost, r.value, r.drawdown) for r in got], [x[2:] for x in want])
