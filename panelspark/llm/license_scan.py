@@ -36,8 +36,23 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "MIT-terms": "This project is licensed under the terms of the MIT license.",
+    "MIT-title": "MIT License Copyright (c)",
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "GPL-2.0-short": "Released under the GPLv2 license.",
+    "GPL-3.0-short": "Released under the GPLv3 license.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC0-1.0-deed": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law",
+    "CC0-1.0-title": "CC0 1.0 Universal Public Domain Dedication",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
-    **{f"SPDX-{k}": f"SPDX-License-Identifier: {k}" for k in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "CC0-1.0", "Unlicense")},
+    **{f"SPDX-{k}": f"SPDX-License-Identifier: {k}" for k in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "CC0-1.0", "Unlicense", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Zlib", "0BSD", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0")},
     **{f"{k}-{n}": f"This work is licensed under the GNU {name} General Public License, version {n[0] if n.endswith('.0') else n}." for k, name, n in (("LGPL", "Lesser", "2.1"), ("LGPL", "Lesser", "3.0"), ("AGPL", "Affero", "3.0"))},
 }
 CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
@@ -46,7 +61,7 @@ for _k, _name in CC.items():
         TEMPLATES.setdefault(f"CC-{_k}-{_v}" + ("-long" if (_k, _v) == ("BY-NC", "4.0") else ""), f"This work is licensed under a Creative Commons {_name} {_v} {_form} License.")
         TEMPLATES.setdefault(f"CC-{_k}-{_v}" + ("" if (_k, _v) == ("BY-NC", "4.0") else "-short"), f"Licensed under CC {_k} {_v}.")
 #: Words around these are candidates; every template holds one.
-CUE = re.compile(r"licen[sc]|copyright|\(c\)|©|rights reserved|permission (?:is|to)|redistribut|spdx|free software|public domain|unencumbered|neighbou?ring rights", re.IGNORECASE)
+CUE = re.compile(r"licen[sc]|copyright|\(c\)|©|rights\s+reserved|permission\s+(?:is|to)|redistribut|spdx|free\s+software|public\s+domain|unencumbered|neighbou?ring\s+rights", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 #: Spellings that count as the same word, as in public guidelines for matching licences.
 SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "organisation": "organization"}
@@ -54,6 +69,12 @@ SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "s
 LEAST_HELD, MOST_BETWEEN = 0.9, 0.35
 #: Words that tell licences apart: a difference that touches one, or a number, is another licence.
 TELLING = {"not", "by", "nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike", "lesser", "library", "affero", "apache", "mit", "mozilla", "cc", "gnu"}
+#: Words before a notice, in its clause and at most so many words back, by which it says what doesn't hold.
+DENYING, BACK = {"not", "no", "never", "none", "neither", "nor", "cannot", "without", "isn", "aren", "wasn", "weren", "doesn", "don"}, 6
+CLAUSE = re.compile(r"[.;:!?,]|\n\s*\n")
+#: A tag with an expression of identifiers, and the parts of an expression.
+TAG = re.compile(r"SPDX[-\s]*License[-\s]*Identifier\s*:?\s*([^\n]*)", re.IGNORECASE)
+PART = re.compile(r"\s*(?:(AND|OR|WITH)\b|([()])|([A-Za-z0-9][A-Za-z0-9.+-]*))")
 #: Longest block, in words, that a worker remembers, and how many blocks.
 BLOCK, CACHE = 60, 20_000
 #: zstandard's level; and the least size reduction of a winner, as a share of what its template takes off itself.
@@ -68,6 +89,20 @@ def telling(word: str) -> bool:
     return word in TELLING or word.lstrip("v")[:1].isdigit()
 
 
+def identifiers(expression: str) -> list[str]:
+    """The licences of an expression as "(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0": identifiers joined
+    by operators, without exceptions, up to what isn't part of it."""
+    out, at, joined = [], 0, "OR"
+    while m := PART.match(expression, at):
+        operator, bracket, name = m.groups()
+        if name and not joined:
+            break
+        if name and joined != "WITH":
+            out.append(name.rstrip("."))
+        joined, at = operator if operator else joined if bracket else "", m.end()
+    return out
+
+
 class Template:
     """A notice's words, their counts, words that it can begin with, least words held, longest notice in words; and the
     compressor that has it as a raw dictionary, with the bytes that it takes off itself. Texts are compressed as words in
@@ -96,6 +131,7 @@ class Matcher:
 
     def __init__(self, templates: dict[str, str]):
         self.templates = {k: Template(v) for k, v in templates.items()}
+        self.tags = [k for k, x in self.templates.items() if x.words[:3] == ["spdx", "license", "identifier"]]
         self.classes: list[tuple[int, list[str]]] = []
         for k in sorted(self.templates, key=lambda k: (self.templates[k].span, k)):
             if not self.classes or self.templates[k].span > 1.5 * self.templates[self.classes[-1][1][0]].span:
@@ -112,9 +148,9 @@ class Matcher:
         return sorted((x for x in saved if x[0] >= LEAST_SAVED * self.templates[x[1]].own), key=lambda x: (-x[0], x[1]))
 
     def notices(self, kind: int, have: tuple[str, ...]) -> list[tuple]:
-        """(name, bytes saved, difference, first word, end, words held, words more, the differences) of each notice of a class in
-        a block, in order of the size reduction of its template, where the exact wording confirms it."""
-        return [(name, saved, *x) for saved, name in self.ranked(have, self.classes[kind][1]) for x in self.confirmed(name, have)]
+        """(name, bytes saved, difference, first word, end, words held, words more, the differences) of each notice of a class (-1:
+        of the tags) in a block, in order of the size reduction of its template, where the exact wording confirms it."""
+        return [(name, saved, *x) for saved, name in self.ranked(have, self.tags if kind < 0 else self.classes[kind][1]) for x in self.confirmed(name, have)]
 
     def confirmed(self, name: str, have: tuple[str, ...]) -> list[tuple]:
         """The places at which a template's wording stands: enough of its words in order, few others between them, and no
@@ -143,7 +179,8 @@ class Matcher:
         missing, words more, the differences) of each notice of a text.
 
         Blocks are the words around cues as far as the class reaches, across lines and sentences; those that overlap are one,
-        which is looked at in pieces of some reaches that overlap by one."""
+        which is looked at in pieces of some reaches that overlap by one. Each identifier of a tag's expression is besides a
+        block of its own with the tag's words. A notice that its clause denies is none."""
         cues = [m.span() for m in CUE.finditer(text)]
         if not cues:
             return 0, []
@@ -165,19 +202,37 @@ class Matcher:
                     piece = tuple(have[first : min(first + 4 * far, hi)])
                     for name, saved, off, start, end, *rest in self.remembered(kind, piece) if len(piece) <= BLOCK else self.notices(kind, piece):
                         by_name.setdefault(name, []).append((off, first + start, first + end, saved, *rest))
+        for m in TAG.finditer(text):
+            first = bisect.bisect_left(starts, m.start())
+            for one in dict.fromkeys(identifiers(m.group(1))):
+                for name, saved, off, start, end, *rest in self.remembered(-1, ("spdx", "license", "identifier", *words(one))):
+                    by_name.setdefault(name, []).append((off, first + start, first + end, saved, *rest))
         out = []
+        for name in list(by_name):
+            by_name[name] = [p for p in by_name[name] if not denied(text, at, p[1])]
         for name, places in by_name.items():
             n = len(self.templates[name].words)
             out += [(name, saved, held / n, n - held, more, differences) for _, _, _, saved, held, more, differences in apart(places)]
         return len(spans), sorted(out, key=lambda x: (-x[1], x[0]))
 
 
+def denied(text: str, at: list[tuple[int, int]], first: int) -> bool:
+    """Whether the clause before word `first` says that what follows doesn't hold."""
+    before = text[at[max(0, first - BACK)][0] : at[first][0]]
+    return any(w in DENYING for w in words(CLAUSE.split(before)[-1]))
+
+
 def apart(places: list[tuple]) -> list[tuple]:
-    """Of (difference, first, end, ...) that overlap the one of least difference."""
+    """Of (difference, first, end, ...) that overlap the one of least difference, then the first; in order of place. Those chosen
+    are kept sorted by place, so each is compared with the one before its end alone."""
+    starts: list[int] = []
     chosen: list[tuple] = []
     for y in sorted(places):
-        if all(y[2] <= z[1] or y[1] >= z[2] for z in chosen):
-            chosen.append(y)
+        k = bisect.bisect_left(starts, y[2])
+        if not k or chosen[k - 1][2] <= y[1]:
+            k = bisect.bisect_left(starts, y[1])
+            starts.insert(k, y[1])
+            chosen.insert(k, y)
     return chosen
 
 
@@ -190,7 +245,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """A row for each document: doc_id, n_blocks (candidate blocks), n_found (notices), licenses (names, sorted, once each), best
     (that of the most bytes saved, null if none), saved, held, missing, more and differences of the best.
 
-    A null or empty text has no blocks. Repeated rows give repeated rows, an empty table none. Other columns aren't read.
+    A null or empty text has no blocks. Repeated rows give repeated rows, an empty table none. Other columns aren't read. Of
+    equal savings the lesser name is best. Very long texts with very many notices take time in proportion to their number.
     Whole texts are read; each block around a cue is compressed with every template, and winners are confirmed by wording.
     """
     given = tuple(templates.items())

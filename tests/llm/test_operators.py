@@ -367,6 +367,48 @@ def test_license_variants():
     assert licenses_in("Released under the MIT License. All rights reserved.") == {"MIT", "All-rights-reserved"}
 
 
+def test_license_denied_is_none():
+    assert licenses_in("This is not licensed under the MIT License.") == set()
+    assert licenses_in("No part is released under the MIT License any more") == set()
+    assert licenses_in("It isn't released under the MIT License.") == set()
+    assert licenses_in("It comes with no warranty. Released under the MIT License.") == {"MIT"}
+    assert licenses_in("If not stated otherwise, licensed under the MIT License.") == {"MIT-licensed"}
+
+
+def test_license_common_forms():
+    assert licenses_in("This project is licensed under the terms of the MIT license.") == {"MIT-terms"}
+    assert licenses_in("MIT License\n\nCopyright (c) 2020 Some One") == {"MIT-title"}
+    assert licenses_in("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n") == {"GPL-3.0-title"}
+    assert licenses_in("GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007\n") == {"AGPL-3.0-title"}
+    assert licenses_in("Released under the GPLv2 license.") == {"GPL-2.0-short"}
+    assert licenses_in(license_scan.TEMPLATES["LGPL-2.1-or-later"]) == {"LGPL-2.1-or-later"} and licenses_in(license_scan.TEMPLATES["AGPL-3.0-or-later"]) == {"AGPL-3.0-or-later"}
+    assert licenses_in("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which") == {"EPL-1.0"}
+
+
+def test_license_expressions():
+    assert licenses_in("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;") == {"SPDX-MIT", "SPDX-Apache-2.0"}
+    assert licenses_in("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note AND CC-BY-4.0 and more MIT") == {"SPDX-GPL-2.0-only", "SPDX-CC-BY-4.0"}
+    assert licenses_in("SPDX-License-Identifier: CC-BY-4.0.") == {"SPDX-CC-BY-4.0"} and licenses_in("SPDX-License-Identifier: Nothing-1.0") == set()
+
+
+def test_license_of_very_many_notices():
+    import time
+
+    of, began = license_scan.matcher(), time.process_time()
+    places = [(0, 5 * i, 5 * i + 5, 1, 5, 0, "") for i in range(100_000)]
+    assert len(license_scan.apart(places)) == 100_000 and time.process_time() - began < 5
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        some = [(int(d), int(a), int(a + n)) for d, a, n in zip(rng.integers(0, 4, 30), rng.integers(0, 60, 30), rng.integers(1, 9, 30))]
+        chosen = []
+        for y in sorted(some):
+            if all(y[2] <= z[1] or y[1] >= z[2] for z in chosen):
+                chosen.append(y)
+        assert license_scan.apart(some) == sorted(chosen, key=lambda x: x[1])
+    n, found = of.found("Released under the MIT License. And so on and so forth it goes. " * 3000)
+    assert len(found) == 3000
+
+
 def test_codec_equals_the_library_on_all_code_points():
     import public_tokenizers
     from tokenizers import Tokenizer
