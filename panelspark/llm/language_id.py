@@ -9,19 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import carried, crc_mod, small_batches, table, texts
+from panelspark.llm.common import carried, crc_mod, discard, small_batches, stored, table, texts
 from panelspark.llm.words import Chunk, chunks
 
-#: Documents of each language that the network learns from, about (chosen by a hash of the id), and words of each.
+#: Documents of each language that the network learns from, about (chosen by a hash of id and text), and words of each.
 SAMPLE_DOCS, SAMPLE_WORDS = 600, 60
-#: Languages that can be learned: those of most documents. Rarer values of a dirty column never reach the driver.
-LANGUAGES = 200
+#: The share of all labelled documents that a language needs to be learned. Rarer values of a dirty column never reach the driver.
+LEAST_SHARE = 1e-4
 #: The network: letters of its byte embedding, units of each direction; training steps, words of a step, learning rate.
 EMBED, UNITS, STEPS, BATCH, RATE, SEED = 12, 16, 700, 256, 0.01, 7
 #: A word's bytes are one sequence; longer words are cut into sequences of so many bytes.
 LONGEST = 32
-#: Words whose sums a worker remembers; beyond it the memory is begun anew.
-CACHE_WORDS = 400_000
+#: Words whose sums a worker remembers, fewer where their languages make more numbers than these; beyond it the memory is begun anew.
+CACHE_WORDS, CACHE_NUMBERS = 400_000, 20_000_000
 UNKNOWN = "und"
 
 
@@ -132,14 +132,15 @@ class WordSums:
 
     def __init__(self, net: Network):
         self.net, self.rows = net, {}
-        self.sums = np.zeros((CACHE_WORDS, len(net.languages)), np.float32)
+        self.size = min(CACHE_WORDS, CACHE_NUMBERS // len(net.languages))
+        self.sums = np.zeros((self.size, len(net.languages)), np.float32)
 
     def of(self, c: Chunk) -> np.ndarray:
         """For every word of the chunk its sums."""
         keys, first, back = np.unique(c.hashes, return_index=True, return_inverse=True)
-        if len(keys) > CACHE_WORDS - len(self.rows):
+        if len(keys) > self.size - len(self.rows):
             self.rows.clear()
-        if len(keys) > CACHE_WORDS:  # a chunk with more words than the memory holds
+        if len(keys) > self.size:  # a chunk with more words than the memory holds
             return self.compute(c, first)[back]
         rows = np.array(list(map(self.rows.get, keys.tolist(), [-1] * len(keys))), np.int64)
         if len(new := np.flatnonzero(rows < 0)):
@@ -162,29 +163,34 @@ class WordSums:
         return out
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folds: int = 5) -> Network | None:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folds: int = 5, least_share: float = LEAST_SHARE) -> Network | None:
     """A network fitted to about sample_docs documents of each language among those whose crc32(doc_id) mod folds isn't 0.
 
-    Two passes: rows by language, then words of the sampled texts, drawn over the whole text. None if no row is labelled, as
-    in an empty table. Repeated rows count each; columns other than doc_id, text and lang aren't read.
+    A language is learned if it has least_share of the labelled documents. Two passes: distinct documents by language, then
+    words of the sampled texts, drawn over the whole text. None if no row is labelled, as in an empty table. Rows alike in id,
+    language and text count once, so what comes to the driver is bounded whatever repeats; very long texts give as many words
+    as others. Columns other than doc_id, text and lang aren't read.
     """
-    able = docs.where((crc_mod("doc_id", folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    able = docs.where((crc_mod("doc_id", folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
+    by = stored(able.select("lang", "mark").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    total = by.agg(F.sum("n")).first()[0] or 0
+    counts = {r[0]: r[1] for r in by.where(F.col("n") >= least_share * total).collect()}  # at most 1 / least_share
+    discard(by)
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample_docs / n))])
-    picked = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 1_000_003 * share[F.col("lang")])
+    picked = able.where(F.pmod("mark", F.lit(1_000_003)) < 1_000_003 * share[F.col("lang")])
 
     def draw(batches):
         for batch in small_batches(batches):
-            for doc_id, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), texts(batch)):
+            for mark, lang, text in zip(batch.column("mark").to_pylist(), batch.column("lang").to_pylist(), texts(batch)):
                 words = text.encode().split()
                 if len(words) > SAMPLE_WORDS:
-                    words = [words[i] for i in np.random.default_rng(abs(doc_id or 0)).choice(len(words), SAMPLE_WORDS, replace=False)]
-                yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "lang": lang, "words": words}], pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary()))]))
+                    words = [words[i] for i in np.random.default_rng(abs(mark)).choice(len(words), SAMPLE_WORDS, replace=False)]
+                yield pa.RecordBatch.from_pylist([{"mark": mark, "lang": lang, "words": words}], pa.schema([("mark", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary()))]))
 
-    found = picked.select("doc_id", "lang", "text").mapInArrow(draw, "doc_id long, lang string, words array<binary>").collect()
-    pairs = sorted((r[0] or 0, r[1], bytes(w)) for r in found for w in r[2])
+    found = picked.mapInArrow(draw, "mark long, lang string, words array<binary>").dropDuplicates(["mark", "lang"]).collect()
+    pairs = sorted((r[0], r[1], bytes(w)) for r in found for w in r[2])
     return train([p[2] for p in pairs], [p[1] for p in pairs]) if pairs else None
 
 
@@ -193,7 +199,7 @@ def identify(docs: DataFrame, net: Network | None, carry: tuple[str, ...] = ())
 
     Every byte of every word is a position with a probability for each language; a document's probabilities are their
     mean, lang_pred the likeliest language (the first by name among equals), score its probability. A text that is null
-    or has no letter is `und` with score 0, as is every text without a network. Repeated rows give repeated rows, an empty
+    or has no letter is `und` with score 0, as is every text without a network. Very long texts are read whole, in pieces. Repeated rows give repeated rows, an empty
     table none. Columns named by carry are handed through; others aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import crc_mod, small_batches, table
+from panelspark.llm.common import crc_mod, discard, small_batches, stored, table
 from panelspark.llm.quality_rules import _SYMBOL, duplicate_lines, repeated_words, sums
 from panelspark.llm.words import Chunk, chunks
 
-#: Labelled documents that the model learns from, about (chosen by a hash of the id).
+#: Labelled documents that the model learns from, about (chosen by a hash of id and text).
 SAMPLE = 5_000
 #: Buckets of hashed words; factors of each feature; passes over the sample, documents of a step, learning rate.
 BUCKETS, FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 1 << 15, 8, 8, 128, 0.02, 1e-4, 11
@@ -115,35 +115,40 @@ def inputs(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 4, fold: int = 2) -> Machine | None:
     """A machine fitted to about `sample` labelled documents among those whose crc32(doc_id) mod folds isn't fold.
 
-    The sample's ids are chosen from the labels alone; then one pass over docs makes their features. None without labels.
-    A document with several labels counts as good if any says so.
+    One pass meets labels with the documents' hashes, of which the sample is chosen; then one over docs makes its features.
+    None without labels. Rows alike in id and text count once, so what comes to the driver is bounded whatever repeats. A
+    document with several labels counts as good if any says so.
     """
     able = labels.where((crc_mod("doc_id", folds) != fold) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = able.count()
-    picked = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(n, 1))))
-    label = {r[0]: r[1] for r in picked.collect()}
+    met = stored(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark")).distinct().join(able, "doc_id"), "labelled")
+    n = met.count()
+    picked = met.where(F.pmod("mark", F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(n, 1))))
+    label = {r.mark: r.quality for r in picked.collect()}
+    discard(met)
     if not label:
         return None
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(list(label), np.int64)))
 
     def draw(batches):
         for batch in small_batches(batches):
-            batch = batch.filter(pa.array(np.isin(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), shared.value)))
+            batch = batch.filter(pa.array(np.isin(batch.column("mark").to_numpy(zero_copy_only=False), shared.value)))
             for c, (offsets, number, value) in _rows(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(c.first, len(c)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(number, pa.int32())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value, pa.float32()))],
-                    ["doc_id", "number", "value"],
+                    [batch.column("mark").slice(c.first, len(c)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(number, pa.int32())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value, pa.float32()))],
+                    ["mark", "number", "value"],
                 )
 
-    found = inputs(docs).mapInArrow(draw, "doc_id long, number array<int>, value array<float>").toArrow().sort_by("doc_id")
+    marked = inputs(docs).withColumn("mark", F.xxhash64("doc_id", "text"))
+    found = marked.mapInArrow(draw, "mark long, number array<int>, value array<float>").dropDuplicates(["mark"]).toArrow().sort_by("mark")
     rows = [(np.array(a, np.int64), np.array(b, np.float64)) for a, b in zip(found["number"].to_numpy(), found["value"].to_numpy())]
-    return train(rows, np.array([label[i] for i in found["doc_id"].to_pylist()], float)) if rows else None
+    return train(rows, np.array([label[i] for i in found["mark"].to_pylist()], float)) if rows else None
 
 
 def classify(docs: DataFrame, model: Machine | None) -> DataFrame:
     """doc_id and score of every document: the machine's probability of label 1.
 
-    Null and empty texts have no words, only statistics, and are scored like any other; without a model the score is 0.5.
+    Null and empty texts have no words, only statistics, and are scored like any other; very long ones whole; without a
+    model the score is 0.5.
     Repeated rows give repeated rows, an empty table none. Columns other than doc_id, text and n_chars aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

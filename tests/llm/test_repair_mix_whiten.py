@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import conversation_repair, mixing, quality_classifier, whitening
+from panelspark.llm import conversation_repair, language_id, mixing, quality_classifier, whitening
 from panelspark.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import compare
 
@@ -246,6 +246,29 @@ def test_classifier_of_a_clashing_n_chars(spark):
     assert quality_classifier.classify(docs.withColumn("n_chars", F.array("text")), model).count() == 4
 
 
+def test_samples_of_one_id_repeated_are_bounded(spark, monkeypatch):
+    rows = [(1, f"words of text number {i % 1500} go here", "en", "x") for i in range(3000)] + [(i, f"mots du texte {i} vont là", "fr", None) for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, mark string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    sizes = {}
+    monkeypatch.setattr(language_id, "train", lambda words, langs: sizes.setdefault("words", len(words)))
+    monkeypatch.setattr(quality_classifier, "train", lambda rows, labels: sizes.setdefault("rows", len(rows)))
+    language_id.learn(docs, sample_docs=50)
+    quality_classifier.learn(docs, labels, sample=60)
+    assert 0 < sizes["words"] < 7 * 150 and 0 < sizes["rows"] < 150
+
+
+def test_languages_need_support(spark, monkeypatch):
+    rows = [(i, "some words", f"l{i % 3}" if i else "rare") for i in range(400)]
+    seen = set()
+    monkeypatch.setattr(language_id, "train", lambda words, langs: seen.update(langs))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language_id.learn(docs, folds=401, least_share=0.05)
+    assert seen == {"l0", "l1", "l2"}
+    language_id.learn(docs, folds=401)
+    assert "rare" in seen
+
+
 def test_deduplicate_keeps_clashing_columns(spark):
     import corpus_pipeline
 
