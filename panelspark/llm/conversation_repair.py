@@ -139,7 +139,7 @@ def _out(audit: str) -> Column:
 
 def _small(turns: DataFrame) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("conv_id", "block", "role", "text").orderBy(F.asc_nulls_first("turn"))) > 1
-    rows = turns.withColumns({"block": F.lit(0), "n": F.lit(1).cast("long")}).repartition("conv_id", "block").withColumn("again", again)
+    rows = turns.withColumns({"block": F.lit(0), "n": F.lit(1).cast("long")}).repartition("conv_id").withColumn("again", again)
     found = _flagged(rows).withColumn("best", _end(_fold(F.col("rows"), 0))).withColumns({"cost": F.col("best.cost"), "edits": F.col("best.audit")})
     made = _repaired(F.col("rows"), F.regexp_extract_all("edits", F.lit(_EDIT), F.lit(0)), F.regexp_extract("edits", _TAIL, 1))
     return found.select("conv_id", "block", F.lit(1).alias("blocks"), _gaps("low", "high", "turns").alias("gaps"), *_COUNTS, "cost", _out("edits"), made.alias("turns"))
