@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _whole(left: DataFrame, by: list[str]) -> list[Column]:
+    """The columns of the struct _left; the keys are taken beside it, so that what follows knows its partitioning."""
+    return [F.col(k) if k in by else F.col("_left")[k].alias(k) for k in left.columns]
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, lag_days: int = 0, met: bool = False) -> DataFrame:
     """Each left row with the last right row of its keys whose date, plus lag_days, is at most its own; nulls if there is
     none. Left rows keep their number; where right repeats a date, the row that sorts last by its values in order of columns
@@ -18,7 +23,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     both = l.unionByName(r, allowMissingColumns=True).withColumn("_last", F.last("_right", ignorenulls=True).over(w))
     if met:
         both = both.withColumn("_met", F.min("_side").over(Window.partitionBy(*by))).where("_met = 0")
-    return both.where("_side = 1").select("_left.*", *[F.col("_last")[v].alias(v) for v in values])
+    return both.where("_side = 1").select(*_whole(left, by), *[F.col("_last")[v].alias(v) for v in values])
 
 
 def asof_dates(left: DataFrame, series: DataFrame, left_on: str, right_on: str) -> DataFrame:
@@ -45,4 +50,4 @@ def trailing_events(left: DataFrame, events: DataFrame, by: str, left_on: str, r
     both = both.withColumns({
         "n_events": F.count("_v").over(recent), "sum_events": F.coalesce(F.sum("_v").over(recent), F.lit(0.0)), "last_event": last, "any_event": F.count("_v").over(Window.partitionBy(by)) > 0,
     })
-    return both.where("_side = 1").select("_left.*", "n_events", "sum_events", "last_event", "any_event")
+    return both.where("_side = 1").select(*_whole(left, [by]), "n_events", "sum_events", "last_event", "any_event")

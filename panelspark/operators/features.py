@@ -150,6 +150,10 @@ def shares(panel: DataFrame, whole: dict[str, str], recent: dict[str, tuple[str,
     return panel.groupBy("ticker").applyInArrow(run, schema)
 
 
+#: Columns that history_ranks reads.
+HISTORY = ("volatility_20d", "volatility_60d", "adj_close", "pl", "drawdown")
+
+
 def history_ranks(panel: DataFrame) -> DataFrame:
     """Where a row stands in its ticker's own past: volatility among all rows, price and price over earnings among those of five
     years, drawdown of one, of the columns that the panel has."""

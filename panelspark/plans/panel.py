@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import by_ticker
 from panelspark.operators.asof import asof_dates, asof_join
-from panelspark.operators.features import cross_section, dividend_features, filing_features, filing_trends, final_growth, history_ranks, macro_features, price_features, reanchor, valuation_ratios
+from panelspark.operators.features import HISTORY, cross_section, dividend_features, filing_features, filing_trends, final_growth, history_ranks, macro_features, price_features, reanchor, valuation_ratios
 from panelspark.operators.statements import payout_ratios
 
 
 def build_panel(prices: DataFrame, filings: DataFrame, companies: DataFrame, macro: DataFrame, dividends: DataFrame, min_rows: int = 10, history: bool = True) -> DataFrame:
     """One row for each (ticker, trade_date) of active tickers with a filing and min_rows rows, with all features.
 
-    history: with ranks in a ticker's own past. They go through Arrow by ticker, which needs every column; without them a
-    query computes no more than the columns that it shows.
+    history: with ranks in a ticker's own past. They go through Arrow by ticker, which can't be pruned: only their inputs go
+    there, and come back by a ticker's row number.
 
     Each table is read once, but for the dates of prices, which resolve the macro series as of each day. What belongs to a
     ticker (counts, windows, dividends, filings as of a day) follows in one partitioning by ticker; last the panel is dealt by
@@ -31,4 +31,9 @@ def build_panel(prices: DataFrame, filings: DataFrame, companies: DataFrame, mac
     if {"lpa", "shares_outstanding"} <= set(panel.columns):
         panel = payout_ratios(panel, "div_value_recent", "shares_outstanding")
     panel = filing_trends(valuation_ratios(panel), over=by_ticker())
-    return cross_section(history_ranks(panel) if history else panel)
+    if history:
+        panel = panel.withColumn("_row", F.row_number().over(by_ticker()))
+        ranks = history_ranks(panel.select("ticker", "trade_date", "_row", *[k for k in HISTORY if k in panel.columns]))
+        ranks = ranks.drop("trade_date", *HISTORY)
+        panel = panel.join(ranks, ["ticker", "_row"]).drop("_row")
+    return cross_section(panel)
