@@ -1,6 +1,7 @@
 """Hand-computed vectors, look-ahead, upserts, and every query against its SQL on the smallest tables."""
 
 import math
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from panelspark import catalog, catalog_panel, catalog_research, catalog_stores  # noqa: F401
 from panelspark.functions.columns import correlation
 from panelspark.operators import asof, audit, features, performance, portfolio, quality, reports
-from panelspark.sources import files, outputs
+from panelspark.plans.panel import build_panel
+from panelspark.sources import files, outputs, views
 from panelspark.streaming.store import Store
 from panelspark.streaming.upsert import merged, stream_upsert
 from tests.oracle import compare
@@ -41,6 +43,32 @@ def test_windows_need_all_rows(spark):
     assert column(out, "rsi_14") == [None] * 100  # no loss at all
 
 
+def test_panel_history_is_narrow_and_keeps_repeated_rows(spark):
+    tables = [f(spark, SF) for f in (views.prices, views.filings, views.companies, views.macro, views.dividends)]
+    tables[0] = tables[0].union(tables[0].where("day(trade_date) = 1"))
+    whole, plain = build_panel(*tables), build_panel(*tables, history=False)
+    assert set(whole.columns) - set(plain.columns) == {"volatility_20d_percentile", "volatility_60d_percentile", "price_percentile_5y", "pl_percentile_5y", "drawdown_percentile"}
+    key = ["ticker", "trade_date"]
+    assert whole.groupBy(key).count().exceptAll(plain.groupBy(key).count()).isEmpty()
+    assert whole.count() == plain.count() > plain.select(key).distinct().count()
+    sent = re.search(r"run\(([^)]*)\)", whole._jdf.queryExecution().optimizedPlan().toString())[1].split(", ")
+    assert [x.split("#")[0] for x in sent] == ["ticker", "trade_date", "_row", *features.HISTORY]
+
+
+def test_panel_of_empty_prices(spark):
+    tables = [f(spark, SF) for f in (views.prices, views.filings, views.companies, views.macro, views.dividends)]
+    assert build_panel(tables[0].limit(0), *tables[1:]).isEmpty()
+
+
+def test_as_of_joins_keep_the_partitioning_of_their_keys(spark):
+    events = spark.createDataFrame([("A", DAY, 1.0)], "ticker string, d date, x double")
+    left = prices(spark, A=[1, 2, 3])
+    for out in (asof.asof_join(left, events, ["ticker"], "trade_date", "d"), asof.trailing_events(left, events, "ticker", "trade_date", "d", "x", 9)):
+        assert out.columns[: len(left.columns)] == left.columns
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert plan(features.price_features(out)) == plan(out) == 1
+
+
 def test_drawdown_and_rsi(spark):
     out = features.price_features(prices(spark, A=[100, 120, 110, 90], B=[100 + i % 2 for i in range(18)]))
     assert column(out, "drawdown") == pytest.approx([0, 0, -10 / 120, -30 / 120])
