@@ -111,8 +111,9 @@ def sector_weights(weights: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def weight_changes(weights: DataFrame, days: DataFrame, least: float = 0.001) -> DataFrame:
-    """(ticker, first_w, second_w, change): names whose weight differs by more than `least` between the two days of a
-    one-row table (a, b), as entered, exited or resized."""
+    """(ticker, first_w, second_w, change): names whose weight differs by more than `least` between two days, as entered,
+    exited or resized: the earliest a and the latest b of a table (a, b), which is one row. No row, or null days, no names."""
+    days = days.agg(F.min("a").alias("a"), F.max("b").alias("b"))
     met = weights.join(F.broadcast(days), c("trade_date").isin(c("a"), c("b")))
     on = lambda d: F.coalesce(F.sum(F.when(c("trade_date") == c(d), c("w"))), F.lit(0.0))
     both = met.groupBy("ticker").agg(on("a").alias("first_w"), on("b").alias("second_w")).where(F.abs(c("second_w") - c("first_w")) > least)

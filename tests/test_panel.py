@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark import catalog, catalog_panel, catalog_research, catalog_stores  # noqa: F401
 from panelspark.functions.columns import correlation
-from panelspark.operators import asof, audit, features, performance, portfolio, quality, reports
+from panelspark.operators import asof, audit, features, performance, portfolio, quality, reports, training
 from panelspark.plans.panel import build_panel
 from panelspark.sources import files, outputs, views
 from panelspark.streaming.store import Store
@@ -69,6 +69,14 @@ def test_as_of_joins_keep_the_partitioning_of_their_keys(spark):
         assert plan(features.price_features(out)) == plan(out) == 1
 
 
+def test_weight_changes_take_the_outermost_days(spark):
+    w = spark.createDataFrame([("A", DAY, 0.5), ("A", DAY + timedelta(1), 0.2), ("B", DAY, 0.5), ("C", DAY + timedelta(1), 0.8)], "ticker string, trade_date date, w double")
+    days = spark.createDataFrame([(DAY, DAY), (DAY, DAY + timedelta(1))], "a date, b date")
+    found = {r.ticker: r.change for r in training.weight_changes(w, days).collect()}
+    assert found == {"A": "resized", "B": "exited", "C": "entered"}
+    assert training.weight_changes(w, days.limit(0)).isEmpty()
+
+
 def test_drawdown_and_rsi(spark):
     out = features.price_features(prices(spark, A=[100, 120, 110, 90], B=[100 + i % 2 for i in range(18)]))
     assert column(out, "drawdown") == pytest.approx([0, 0, -10 / 120, -30 / 120])
