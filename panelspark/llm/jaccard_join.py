@@ -32,6 +32,10 @@ FANOUT = 1024
 MASK_BITS = 1 << 25
 #: Tokens of sets that are counted at a time when frequent ones are looked for.
 COUNTED = 3_000_000
+#: Counters of tokens that every task fills: for each of DEPTH slices of 16 bits of a token one for each value, sent in blocks.
+DEPTH, WIDTH, BLOCK = 3, 1 << 16, 1 << 10
+#: Sets of a token that are compared in one place by the exact rest; larger groups are cut, and each two parts meet in a place.
+TOGETHER = 4096
 #: Tokens before a place that are looked at so that a pair isn't made again at each token that it shares.
 BEFORE = 8
 #: Bridges are followed where their candidates are more than one for so many rows; the exact rest finds their links anyway.
@@ -102,27 +106,81 @@ class Heavy:
         return np.concatenate((light, tokens[heavy])), np.concatenate((np.full(len(light), -1), at[heavy]))
 
 
+def slices(tokens: np.ndarray) -> list[np.ndarray]:
+    """The token's counter in each row of counters."""
+    return [((tokens >> _U(16 * r)) & _U(WIDTH - 1)).astype(np.int64) for r in range(DEPTH)]
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, mark, key, n) for each document, mark being the hash of its text, and rows (token, df) for tokens that are found again in a part of a partition."""
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
+    """A row (doc_id, mark, key, n) for each document, mark being the hash of its text, and rows (block, counters) of each
+    task's counters, in which every token of its different sets is counted."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counters", pa.binary())])
+
+    def run(batches):
+        seen, counters = set(), np.zeros((DEPTH, WIDTH), np.int64)
+        for batch in small_batches(batches):
+            for c in chunks(batch, lower=True):
+                sets = shingle_sets(c)
+                keys = set_keys(sets)
+                none = [pa.nulls(len(c), t) for t in (pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first, len(c)), batch.column("mark").slice(c.first, len(c)), pa.array(keys.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), *none], schema=schema)
+                fresh = []
+                for k, x in zip(keys.tolist(), sets):
+                    if len(x) and k not in seen:
+                        seen.add(k)
+                        fresh.append(x)
+                if fresh:
+                    for row, at in zip(counters, slices(np.concatenate(fresh))):
+                        row += np.bincount(at, minlength=WIDTH)
+        parts = counters.reshape(-1, BLOCK)
+        some = np.flatnonzero(parts.any(axis=1))
+        if len(some):
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], schema=schema)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, key long, n long, block int, counters binary")
+
+
+def large_counters(profiles: DataFrame) -> np.ndarray:
+    """Which counters stand out, summed over all tasks: those above the middle one of their row by FANOUT, or by six times
+    the usual spread where that is more. A token that more sets hold raises all of its counters, in however many tasks it stands."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counters in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counters.as_buffer(), np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counters"])
+
+    found = profiles.where("block IS NOT NULL").select("block", "counters").repartition("block").mapInArrow(add, "block int, counters binary")
+    out = np.zeros((DEPTH * WIDTH // BLOCK, BLOCK), np.int64)
+    for block, counters in found.collect():  # DEPTH * WIDTH counters at any size of the table
+        out[block] = np.frombuffer(counters, np.int64)
+    out = out.reshape(DEPTH, WIDTH)
+    middle = np.median(out, axis=1, keepdims=True)
+    spread = 1.4826 * np.median(np.abs(out - middle), axis=1, keepdims=True)
+    return out >= middle + np.maximum(FANOUT, 6 * spread)
+
+
+def token_counts(docs: DataFrame, large: np.ndarray) -> DataFrame:
+    """(token, df) of the tokens whose counters all stand out, counted in the different sets of every task, and of those that
+    a task finds again among COUNTED tokens."""
+    flags = docs.sparkSession.sparkContext.broadcast(large)
 
     def frequent(held: list[np.ndarray]):
         tokens, df = np.unique(np.concatenate(held), return_counts=True)
-        some = df > 1
-        k, none = int(some.sum()), pa.nulls(int(some.sum()), pa.int64())
-        if k:
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens[some].view(np.int64)), pa.array(df[some])], schema=schema)
+        some = np.logical_and.reduce([row[at] for row, at in zip(flags.value, slices(tokens))]) | (df > 1)
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(df[some])], ["token", "df"])
 
     def run(batches):
         held, total, seen = [], 0, set()
         for batch in small_batches(batches):
             for c in chunks(batch, lower=True):
                 sets = shingle_sets(c)
-                keys = set_keys(sets)
-                none = pa.nulls(len(c), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first, len(c)), batch.column("mark").slice(c.first, len(c)), pa.array(keys.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), none, none], schema=schema)
-                for k, x in zip(keys.tolist(), sets):
-                    if k not in seen:
+                for k, x in zip(set_keys(sets).tolist(), sets):
+                    if len(x) and k not in seen:
                         seen.add(k)
                         held.append(x)
                         total += len(x)
@@ -132,11 +190,21 @@ def profiles(docs: DataFrame) -> DataFrame:
         if held:
             yield from frequent(held)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, key long, n long, token long, df long")
-
-
-def heavy_tokens(profiles: DataFrame, bound: int = HEAVY) -> Heavy:
-    found = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(bound).toArrow()
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
+
+
+def heavy_tokens(counts: DataFrame, bound: int = HEAVY) -> Heavy:
+    """About the `bound` most frequent tokens: all above a level of frequency, which a histogram tells, and of that level as
+    many as there is room for, chosen by their bits."""
+    counts = counts.withColumn("level", F.floor(8 * F.log2("df")).cast("int"))
+    cut, room, share = -1, bound, 0.0
+    for level, n in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # 8 levels for each bit of a count
+        if n > room:
+            cut, share = level, room / n
+            break
+        room -= n
+    chosen = (F.col("level") > cut) | ((F.col("level") == cut) & (F.pmod(F.shiftright("token", 12), F.lit(1 << 20)) < int(share * (1 << 20))))
+    found = counts.where(chosen).select("token", "df").toArrow()
     return Heavy(found["token"].to_numpy().view(_U), found["df"].to_numpy())
 
 
@@ -339,8 +407,8 @@ def confirmed(docs: DataFrame, passed: DataFrame) -> DataFrame:
 
 
 def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (token, n, pos, key, root, before) of the tokens whose sets are in different components; before holds the BEFORE
-    such tokens that come before in the set. Of tokens that have the same
+    """Rows (token, size, n, pos, key, root, before) of the tokens whose sets, so many as size tells, are in different
+    components; before holds the BEFORE such tokens that come before in the set. Of tokens that have the same
     sets only the first is kept: all orders agree on it, so it stands before the others in every set."""
     rows = rows.join(found.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
     groups = rows.groupBy("token").agg(
@@ -348,9 +416,9 @@ def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("key")).alias("hash"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"),
     )
     first = groups.where("low <> high").groupBy("least", "most", "size", "hash", "sum").agg(F.min_by("token", F.struct("pos", "token")).alias("token"))
-    rows = rows.join(first.select("token"), "token", "left_semi")
+    rows = rows.join(first.select("token", "size"), "token")
     before = F.collect_list("token").over(Window.partitionBy("key").orderBy("pos").rowsBetween(-BEFORE, -1))
-    return rows.select("token", "n", "pos", "key", "root", before.alias("before"))
+    return rows.select("token", "size", "n", "pos", "key", "root", before.alias("before"))
 
 
 def bridges(rows: DataFrame) -> DataFrame:
@@ -365,9 +433,14 @@ def bridges(rows: DataFrame) -> DataFrame:
 
 def apart(rows: DataFrame) -> DataFrame:
     """All pairs of keys of mixed rows that could match by size and place, and are in different components. A pair whose
-    sets have a token in common among those just before meets there too, and fits there by place if it does here."""
-    other = rows.toDF("token", "n_b", "pos_b", "b", "root_b", "before_b")
-    pairs = rows.join(other, "token").where((F.col("key") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits("n", "n_b") & enough(F.col("n_b"), F.col("pos_b")) & ~F.arrays_overlap("before", "before_b"))
+    sets have a token in common among those just before meets there too, and fits there by place if it does here. A group
+    is cut into parts of about TOGETHER rows, each two of which meet in a place of their own, as does each with itself."""
+    parts = F.ceil(F.col("size") / TOGETHER).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("token", F.least("part", "met").alias("low"), F.greatest("part", "met").alias("high"), "part", "n", "pos", "key", "root", "before")
+    other = rows.toDF("token", "low", "high", "part_b", "n_b", "pos_b", "b", "root_b", "before_b")
+    pairs = rows.join(other, ["token", "low", "high"]).where((F.col("low") == F.col("high")) | (F.col("part") != F.col("part_b")))
+    pairs = pairs.where((F.col("key") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits("n", "n_b") & enough(F.col("n_b"), F.col("pos_b")) & ~F.arrays_overlap("before", "before_b"))
     return pairs.select(F.col("key").alias("a"), "b").distinct()
 
 
@@ -379,37 +452,48 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     with others. An empty table gives no rows. Other columns aren't read.
     """
     context = docs.sparkSession.sparkContext
+    made = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
     known = stored(profiles(docs), "profiles")
-    heavy = context.broadcast(heavy_tokens(known))
+    counts = stored(token_counts(docs, large_counters(known)), "tokens")
+    heavy = context.broadcast(heavy_tokens(counts))
+    discard(counts)
     rows = stored(shared(postings(docs, heavy)), "postings")
-    tried = stored(stars(rows), "pairs")
+    tried = kept(stars(rows), "pairs")
     keys = rows.where("token IS NOT NULL").select("key").union(tried.select(F.explode(F.array("a", "b")))).distinct()
-    sketches = stored(sets_of(docs, keys, "sketch", "binary", sketch), "sketches")
+    sketches = kept(sets_of(docs, keys, "sketch", "binary", sketch), "sketches")
     passed = stored(compared(tried, sketches, "sketch", may_link), "candidates")
     linked = confirmed(docs, passed)
     found = components(linked)
+    made += linked, found
     left = stored(mixed(rows.where("token IS NOT NULL").select("token", "n", "pos", "key"), found), "mixed")
     discard(rows, passed)
-    pairs = stored(bridges(left).join(tried, ["a", "b"], "left_anti"), "pairs")
-    passed = stored(compared(pairs, sketches, "sketch", may_link), "candidates")
+    pairs = kept(bridges(left).join(tried, ["a", "b"], "left_anti"), "pairs")
+    passed = kept(compared(pairs, sketches, "sketch", may_link), "candidates")
     if passed.count() * LEAST_BRIDGES > left.count():
-        tried = tried.union(pairs)
-        linked = linked.union(confirmed(docs, passed))
+        more = confirmed(docs, passed)
+        tried, linked = tried.union(pairs), linked.union(more)
         found, rows = components(linked), left
+        made += more, found
         left = stored(mixed(rows.select("token", "n", "pos", "key"), found), "mixed")
         discard(rows)
     pairs = stored(apart(left).join(tried, ["a", "b"], "left_anti"), "pairs")
-    passed = stored(compared(pairs, sketches, "sketch", may_link), "candidates")
+    passed = kept(compared(pairs, sketches, "sketch", may_link), "candidates")
     discard(left, pairs)
     if passed.take(1):
-        found = components(linked.union(confirmed(docs, passed)))
-    discard(sketches, passed)
+        more = confirmed(docs, passed)
+        found = components(linked.union(more))
+        made += more, found
     ids = known.where("n IS NOT NULL")
     sets = ids.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    sets = sets.join(found.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sets = stored(sets, "sets")
+    sets = kept(sets.join(found.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key")), "sets")
     roots = sets.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(sets.join(roots, "root").select("key", "component_id"), "components")
+    discard(*made)
     return ids.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
 
 

@@ -2,6 +2,7 @@
 rows, empty tables and extra columns."""
 
 import hashlib
+import pathlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -258,6 +259,50 @@ def test_jaccard_join_finds_a_pair_whose_shingles_are_frequent(spark):
     assert got[100_000] == got[100_001] == 100_000 and {got[i] for i in range(1100)} == {0} and {got[i] for i in range(1100, 2200)} == {1100}
 
 
+@pytest.mark.parametrize("parts", [1, 200])
+def test_jaccard_join_sees_tokens_that_are_frequent_over_tasks_only(spark, monkeypatch, parts):
+    """The same opening in 200 texts, also where each task holds one of them."""
+    monkeypatch.setattr(jaccard_join, "FANOUT", 64)
+    words = [f"w{i}" for i in range(7)]
+    rows = [(i, " ".join([*words, *(f"own{i}x{k}" for k in range(12))])) for i in range(200)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    counts = jaccard_join.token_counts(df, jaccard_join.large_counters(jaccard_join.profiles(df)))
+    assert sorted(jaccard_join.heavy_tokens(counts).counts) == [200] * 3
+    assert len(jaccard_join.heavy_tokens(counts, 0).counts) == 0
+
+
+def test_heavy_tokens_are_the_most_frequent_within_the_bound(spark):
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(-(1 << 63), 1 << 63, 6000)
+    counts = spark.createDataFrame([(int(t), 1000 if i < 100 else 500 if i < 4100 else 3) for i, t in enumerate(tokens)], "token long, df long")
+    found = jaccard_join.heavy_tokens(counts, 2100)
+    assert (found.counts == 1000).sum() == 100 and 1800 < (found.counts == 500).sum() < 2200 and (found.counts == 3).sum() == 0
+    assert len(jaccard_join.heavy_tokens(counts, 6000).counts) == 6000
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_jaccard_join_cuts_groups_of_the_exact_rest(spark, monkeypatch, together):
+    """Each pair of a group in different components is met once, in however many parts the group is cut."""
+    monkeypatch.setattr(jaccard_join, "TOGETHER", together)
+    rng = np.random.default_rng(9)
+    rows = [(t, 10, k, int(rng.integers(90, 110)), int(rng.integers(0, 3)), int(rng.integers(0, 5))) for t in range(6) for k in rng.choice(40, 10, False).tolist()]
+    df = spark.createDataFrame(rows, "token long, size long, key long, n int, pos int, root long").withColumn("before", F.array().cast("array<long>"))
+    fit = lambda a, b: min(a[3], b[3]) * 100 >= 75 * max(a[3], b[3]) and min(a[3] - a[4], b[3] - b[4]) * 175 >= (a[3] + b[3]) * 75
+    want = {(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[5] != b[5] and fit(a, b)}
+    assert want and sorted(map(tuple, jaccard_join.apart(df).collect())) == sorted(want)
+
+
+def test_jaccard_join_leaves_two_tables(spark, real):
+    """Of what a run writes into the shared folder only what its result reads stays."""
+    from panelspark.llm.common import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "panelspark"
+    before = {p.name for p in folder.glob("*")}
+    found = jaccard_join.jaccard_components(real)
+    assert sorted(p.name.split("-")[0] for p in folder.glob("*") if p.name not in before) == ["components", "profiles"]
+    assert found.count() == real.count()
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(7)
     for _ in range(300):
