@@ -124,7 +124,7 @@ _codecs: dict[str, Codec] = {}
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) and decoded text of every text; see `digests` for the narrow form.
 
-    A null or empty text has no ids and decodes to the empty string. Repeated rows give repeated rows, an empty table none.
+    A null or empty text has no ids and decodes to the empty string; very long ones are read whole. Repeated rows give repeated rows, an empty table none.
     Other columns aren't read.
     """
     later = later_unicode()
@@ -144,7 +144,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encode_decode with both sequences hashed where they are made.
 
-    A null or empty text has 0 tokens and the hash of the empty string twice. Repeated rows give repeated rows, an empty
+    A null or empty text has 0 tokens and the hash of the empty string twice; very long ones are read whole. Repeated rows give repeated rows, an empty
     table none. Other columns aren't read.
     """
     later = later_unicode()

@@ -448,7 +448,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) and mark (xxhash64 of the text) of every document.
 
     Two documents link when 100 * |intersection| >= 75 * |union| of their shingle sets. A null, empty or blank text has no
-    shingles and its own id. Repeated rows give repeated rows; a row without an id keeps a null component unless it links
+    shingles and its own id; very long texts are read whole. Repeated rows give repeated rows; a row without an id keeps a null component unless it links
     with others. An empty table gives no rows. Other columns aren't read.
     """
     context = docs.sparkSession.sparkContext

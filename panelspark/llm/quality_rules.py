@@ -117,7 +117,8 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray, n_buckets: int = BUCKETS) -
 def quality_rules(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """The counts, base_failed, llr (mean log ratio of a text's words and pairs of words) and kept of every document.
 
-    A null, empty or blank text has no words: its counts and llr are 0 and it fails the base rules. Repeated rows give
+    A null, empty or blank text has no words: its counts and llr are 0 and it fails the base rules. Very
+    long texts are counted whole. Repeated rows give
     repeated rows, an empty table none. kept is llr >= threshold where the base rules pass. Columns named by carry
     are handed through; others aren't read.
     """
