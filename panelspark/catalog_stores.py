@@ -170,8 +170,9 @@ def j18(s, d):
     """Bands around the parts' prices and bands above the customers' balances, of very different lengths, that overlap."""
     part = v.table(s, d, "part").select("p_partkey", (c("p_retailprice") - c("p_size")).alias("low"), (c("p_retailprice") + c("p_size")).alias("high"))
     customer = v.table(s, d, "customer").select("c_custkey", c("c_acctbal").alias("from"), (c("c_acctbal") + F.pow(F.lit(10.0), c("c_custkey") % 4)).alias("to"))
-    met = ranges.overlaps(part, customer, ("low", "high"), ("from", "to"))
-    return met.groupBy(c("p_partkey").alias("part")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_customer"), F.max("c_custkey").alias("last_customer"), v.exact(c("from")).alias("total"))
+    totals = {"n": ("sum", F.lit(1)), "first_customer": ("min", c("c_custkey")), "last_customer": ("max", c("c_custkey")), "total": ("sum", c("from").cast("decimal(18,2)"))}
+    met = ranges.overlap_totals(part, customer, ("low", "high"), ("from", "to"), totals)
+    return met.groupBy(c("p_partkey").alias("part")).agg(F.sum("n").alias("n"), F.min("first_customer").alias("first_customer"), F.max("last_customer").alias("last_customer"), F.sum("total").cast("double").alias("total"))
 
 
 @query("f02_excluded", "ticker reason", "", """SELECT * FROM (SELECT ticker, CASE WHEN status <> 'ATIVO' THEN 'not active' WHEN ticker NOT IN (SELECT ticker FROM filings) THEN 'no filings' WHEN n < 610 THEN 'few prices' END AS reason FROM companies LEFT JOIN (SELECT ticker, count(*) AS n FROM prices GROUP BY 1) USING (ticker)) WHERE reason IS NOT NULL""")

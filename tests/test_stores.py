@@ -313,6 +313,31 @@ def test_overlaps_equal_a_loop(spark, size):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("top", [0, 11])
+def test_overlap_totals_equal_those_of_a_loop(spark, monkeypatch, top):
+    monkeypatch.setattr(ranges, "TOP_LEVELS", top)
+    rng = np.random.default_rng(1)
+    left = [(i, float(a), float(a + n)) for i, (a, n) in enumerate(zip(np.round(rng.normal(size=150) * 10), rng.pareto(0.7, 150)))]
+    left += [(1000, None, 1.0), (1001, 3.0, 2.0), (1002, -math.inf, math.inf), (1003, 5.0, 5.0), (1003, 5.0, 5.0), (1004, math.nan, math.nan), (1005, 1e300, 1e301), (1006, 0.0, 0.0)]
+    right = [(i, float(a), float(a + n)) for i, (a, n) in enumerate(zip(np.round(rng.normal(size=120) * 10), rng.pareto(0.5, 120) * 0.1))] + [(2000, 5.0, 5.0), (2000, 5.0, 5.0), (2001, -0.0, 6.0), (2002, 4.0, None), (2003, math.nan, math.nan)]
+    a, b = spark.createDataFrame(left, "i int, a double, b double"), spark.createDataFrame(right, "j int, x double, y double")
+    got = ranges.overlap_totals(a, b, ("a", "b"), ("x", "y"), {"n": ("sum", F.lit(1)), "first": ("min", F.col("j")), "last": ("max", F.col("j")), "total": ("sum", F.col("j"))})
+    want = []
+    for i, p, q in left:
+        js = [j for j, x, y in right if None not in (p, x, y) and p <= q and x <= y and p <= y and x <= q]
+        want += [(i, len(js), min(js), max(js), sum(js))] if js else []
+    assert rows(got.select("i", "n", "first", "last", "total")) == sorted(want, key=repr)
+    assert ranges.overlap_totals(a.limit(0), b, ("a", "b"), ("x", "y"), {"n": ("sum", F.lit(1))}).count() == 0
+
+
+def test_range_bounds_are_one_literal_of_the_plan(spark):
+    bounds = [float(i) + 0.1 for i in range(5000)]
+    df = spark.range(1).select(ranges._place(F.col("id") + 7.1, bounds).alias("at"))
+    assert df.first().at == 8
+    tree = lambda e: 1 + sum(tree(e.children().apply(i)) for i in range(e.children().size()))
+    assert tree(df._jdf.queryExecution().analyzed().expressions().apply(0)) < 200
+
+
 @pytest.mark.parametrize("size", [1 << 20, 7])
 def test_quantiles_equal_sorting(spark, size):
     rng = np.random.default_rng(0)
