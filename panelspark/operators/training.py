@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +19,10 @@ from panelspark.operators.portfolio import normalised
 
 c = F.col
 CASH = "CASH"
+#: MD5's constants and turns by round, and texts that are hashed at once, as many as stay near the processor.
+MD5_ADD = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+MD5_TURN = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+MD5_ROWS = 1 << 15
 
 
 def with_cash(panel: DataFrame, rates: DataFrame, rate: str = "selic") -> DataFrame:
@@ -160,11 +170,102 @@ def summary_of_windows(returns: DataFrame, by: str = "window_id") -> DataFrame:
     return each.groupBy("strategy").agg(F.count("*").alias("n_windows"), F.avg("_s").alias("mean"), F.stddev_pop("_s").alias("std"), F.min("_s").alias("least"), F.max("_s").alias("most"))
 
 
+def _md5_heads(words: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the MD5 of texts of one block, given as 16 rows of 32-bit words: the first word of the state."""
+    old = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+    a, b, d, e = (np.full(words.shape[1], x, np.uint32) for x in old)
+    f, more, some = np.empty_like(a), np.empty_like(a), words.any(axis=1)
+    for i in range(61):  # what follows changes other words of the state
+        if i < 16:
+            g = i
+            np.bitwise_xor(d, e, f)
+            f &= b
+            f ^= e
+        elif i < 32:
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, d, f)
+            f &= e
+            f ^= d
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, d, f)
+            f ^= e
+        else:
+            g = (7 * i) % 16
+            np.invert(e, f)
+            f |= b
+            f ^= d
+        a += f
+        if some[g]:
+            a += words[g]
+        a += MD5_ADD[i]
+        turn = MD5_TURN[i // 16][i % 4]
+        np.right_shift(a, np.uint32(32 - turn), more)
+        a <<= np.uint32(turn)
+        a |= more
+        a += b
+        a, b, d, e = e, a, b, d
+    return b + np.uint32(old[0])
+
+
+def text_block(days: list[str], tickers: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts day|ticker as rows of bytes, with their lengths; zero follows a text."""
+    texts = [f"{d}|{t}".encode() for d, t in zip(days, tickers)]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.array(texts, f"S{max(1, size.max(initial=1))}").view(np.uint8).reshape(len(texts), -1), size
+
+
+def text_heads(prefix: bytes, block: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first 32 bits of the MD5 of the prefix and each text, as numbers. Texts beyond one block of MD5 go through hashlib."""
+    held, size = block
+    rows, whole = np.arange(len(size)), size + len(prefix)
+    out = np.zeros(len(size), np.uint32)
+    short = np.flatnonzero(whole <= 55)
+    for at in range(0, len(short), MD5_ROWS):
+        own = short[at : at + MD5_ROWS]
+        data = np.zeros((len(own), 64), np.uint8)
+        data[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+        width = min(held.shape[1], 55 - len(prefix))
+        data[:, len(prefix) : len(prefix) + width] = held[own, :width]
+        data[rows[: len(own)], whole[own]] = 0x80
+        data[:, 56:60] = (8 * whole[own]).astype("<u4").view(np.uint8).reshape(-1, 4)
+        out[own] = _md5_heads(np.ascontiguousarray(data.view("<u4").T)).byteswap()  # the hex text is by bytes, lowest first
+    for i in np.flatnonzero(whole > 55):
+        out[i] = int.from_bytes(hashlib.md5(prefix + held[i, : size[i]].tobytes()).digest()[:4], "big")
+    return out.astype(float)
+
+
 def random_portfolios(returns: DataFrame, runs: int = 200, seed: int = 0) -> DataFrame:
     """(strategy, date, r) of `runs` portfolios with random weights each day: a name's weight is a hash of seed, run, day and
-    ticker over the day's sum, so a task that runs again draws the same. Rows are multiplied by runs inside a task and summed
-    there by run and day before anything is shuffled. Names without a return take no part."""
-    drawn = returns.where("returns IS NOT NULL").select("ticker", "trade_date", F.expm1("returns").alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("_run"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), c("_run").cast("string"), c("trade_date").cast("string"), "ticker")), 1, 8), 16, 10).cast("double") + 1
-    daily = drawn.withColumn("_u", u).groupBy("_run", "trade_date").agg((F.sum(c("_u") * c("_r")) / F.sum("_u")).alias("r"))
-    return daily.select(F.concat(F.lit("random"), c("_run").cast("string")).alias("strategy"), c("trade_date").alias("date"), "r")
+    ticker over the day's sum, so a task that runs again draws the same. A task hashes a batch for one run after another and
+    sums it by day, so rows are never multiplied by runs: what leaves a task is two sums for each run and day of a batch. Names
+    without a return take no part, and a row without ticker or day adds its day alone, as a null hash does in SQL."""
+    rows = returns.where("returns IS NOT NULL").select(F.col("trade_date").cast("string").alias("day"), "ticker", F.expm1("returns").alias("r"))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _larger(batches):
+            code = pa.concat_arrays(table["day"].chunks).dictionary_encode("encode")
+            days, at = code.dictionary.to_pylist(), code.indices.to_numpy()
+            r, block = table["r"].to_numpy(), text_block(table["day"].to_pylist(), table["ticker"].to_pylist())
+            named = np.array([d is not None and t is not None for d, t in zip(table["day"].to_pylist(), table["ticker"].to_pylist())], float)
+            sums = np.empty((2, runs, len(days)))
+            for run in range(runs):
+                u = (text_heads(f"{seed}|{run}|".encode(), block) + 1.0) * named
+                sums[0, run], sums[1, run] = np.bincount(at, u * r, len(days)), np.bincount(at, u, len(days))
+            yield pa.RecordBatch.from_arrays([pa.array(days, pa.string()), pa.array(list(sums[0].T)), pa.array(list(sums[1].T))], ["day", "ur", "u"])
+
+    summed = rows.mapInArrow(drawn, "day string, ur array<double>, u array<double>")
+    each = summed.select("day", F.posexplode(F.arrays_zip("ur", "u")).alias("_run", "_s")).groupBy("_run", "day").agg(F.try_divide(F.sum("_s.ur"), F.sum("_s.u")).alias("r"))
+    return each.select(F.concat(F.lit("random"), c("_run").cast("string")).alias("strategy"), c("day").cast("date").alias("date"), "r")
+
+
+def _larger(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> Iterator[pa.Table]:
+    """Batches put together to tables of `least` rows or more, and the rest."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= least:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)

@@ -244,3 +244,18 @@ def test_whole_random_null(spark):
     name = "p12_random_null_200"
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
     assert compare(spark, name, QUERIES[name], ORACLE_SQL[name], "/root/testdata/sf0.001") == ""
+
+
+def test_random_portfolios_hash_by_batch_as_a_loop_does(spark):
+    texts = ["S1", "", "é" * 20, "x" * 36, "x" * 37, "x" * 38, "x" * 39, "x" * 40, "x" * 41, "x" * 42, "x" * 80]
+    heads = training.text_heads(b"0|17|", training.text_block(["1995-03-01"] * len(texts), texts))
+    assert heads.tolist() == [float(int(hashlib.md5(f"0|17|1995-03-01|{t}".encode()).hexdigest()[:8], 16)) for t in texts]
+    rows = [(t, dt.date(2020, 1, 1 + i), None if (i + k) % 5 == 0 else 0.01 * (i - k)) for i in range(9) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (None, dt.date(2020, 1, 1), 9.0)], "ticker string, trade_date date, returns double")
+    got = {(r.strategy, r.date): r.r for r in training.random_portfolios(df.repartition(3), 3, 7).collect()}
+    want = {}
+    for run in range(3):
+        for day in {r[1] for r in rows}:
+            own = [(int(hashlib.md5(f"7|{run}|{day}|{t}".encode()).hexdigest()[:8], 16) + 1.0, math.expm1(r)) for t, d, r in rows if d == day and r is not None]
+            want[f"random{run}", day] = sum(u * r for u, r in own) / sum(u for u, _ in own)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-15) for k in want)
