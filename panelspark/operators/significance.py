@@ -52,7 +52,8 @@ def two_sample_ks(long: DataFrame, least: int = 6, parts: int = 64) -> DataFrame
     counts = long.where("x IS NOT NULL AND second IS NOT NULL").groupBy("feature", "x").agg(side(False).alias("_a"), side(True).alias("_b"))
     cuts = counts.groupBy("feature").agg(F.percentile_approx("x", [i / parts for i in range(1, parts)]).alias("_cuts"), F.sum("_a").alias("n_first"), F.sum("_b").alias("n_second"))
     cuts = cuts.where((c("n_first") >= least) & (c("n_second") >= least))
-    met = counts.join(cuts, "feature")
+    # a row a feature: by a join on the feature all of its values would be in one task
+    met = counts.join(F.broadcast(cuts), "feature")
     met = met.withColumn("_part", F.size(F.filter("_cuts", lambda v: v < c("x")))).drop("_cuts")
     before = Window.partitionBy("feature").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = met.groupBy("feature", "_part").agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"))
