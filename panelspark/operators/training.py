@@ -48,20 +48,21 @@ def largest_universe(panel: DataFrame, size: str, n: int, min_rows: int = 252) -
     return stocks.unionByName(mean.where(c("ticker") == CASH))
 
 
-def scaled(panel: DataFrame, features: list[str], scalers: DataFrame, window_id: int, limit: float = 10.0) -> DataFrame:
-    """(ticker, trade_date, feature, value): features less the mean over the deviation of one window's scalers (window_id,
+def scaled(panel: DataFrame, features: list[str], scalers: DataFrame, window_id: int, limit: float = 10.0, beside: list[str] | None = None) -> DataFrame:
+    """(ticker, trade_date, feature, value, and the columns `beside`): features less the mean over the deviation of one window's scalers (window_id,
     feature, mean, std), kept within the limit; missing ones are 0. Scalers are a row a feature."""
-    long = panel.select("ticker", "trade_date", *[c(k).cast("double").alias(k) for k in features]).unpivot(["ticker", "trade_date"], features, "feature", "x")
+    keys = ["ticker", "trade_date", *(beside or [])]
+    long = panel.select(*keys, *[c(k).cast("double").alias(k) for k in features]).unpivot(keys, features, "feature", "x")
     one = scalers.where(c("window_id") == window_id).select("feature", "mean", "std")
-    return long.join(one, "feature", "left").select("ticker", "trade_date", "feature", F.coalesce(clip((c("x") - c("mean")) / c("std"), -limit, limit), F.lit(0.0)).alias("value"))
+    # sent to all tasks: by a join on the feature all of its rows would be in one task
+    return long.join(F.broadcast(one), "feature", "left").select(*keys[:2], "feature", *keys[2:], F.coalesce(clip((c("x") - c("mean")) / c("std"), -limit, limit), F.lit(0.0)).alias("value"))
 
 
 def scaled_grid(panel: DataFrame, features: list[str], scalers: DataFrame, window_id: int, limit: float = 10.0) -> DataFrame:
     """(date, ticker, feature, active, value): scaled features of every cell of calendar times universe; inactive cells and
     missing values are 0."""
     cells = grid(panel, features).withColumnRenamed("date", "trade_date")
-    state = cells.select("trade_date", "ticker", "active").distinct()
-    return scaled(cells, features, scalers, window_id, limit).join(state, ["trade_date", "ticker"]).select(c("trade_date").alias("date"), "ticker", "feature", "active", F.when(c("active"), c("value")).otherwise(0.0).alias("value"))
+    return scaled(cells, features, scalers, window_id, limit, ["active"]).select(c("trade_date").alias("date"), "ticker", "feature", "active", F.when(c("active"), c("value")).otherwise(0.0).alias("value"))
 
 
 def market_return(returns: DataFrame) -> DataFrame:

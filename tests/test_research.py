@@ -259,3 +259,20 @@ def test_random_portfolios_hash_by_batch_as_a_loop_does(spark):
             own = [(int(hashlib.md5(f"7|{run}|{day}|{t}".encode()).hexdigest()[:8], 16) + 1.0, math.expm1(r)) for t, d, r in rows if d == day and r is not None]
             want[f"random{run}", day] = sum(u * r for u, r in own) / sum(u for u, _ in own)
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-15) for k in want)
+
+
+def test_scalers_and_cuts_meet_rows_by_broadcast(spark):
+    days = [(f"T{k}", dt.date(2020, 1, 1 + i), float(i * k), float(i - k)) for i in range(20) for k in range(5)]
+    p = spark.createDataFrame(days, "ticker string, trade_date date, a double, b double")
+    scalers = spark.createDataFrame([(0, "a", 1.0, 2.0), (0, "b", 0.0, 1.0)], "window_id int, feature string, mean double, std double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scaled = training.scaled(p, ["a", "b"], scalers, 0)
+        grid = training.scaled_grid(p, ["a", "b"], scalers, 0)
+        ks = significance.two_sample_ks(p.select((F.dayofmonth("trade_date") > 9).alias("second"), "a", "b").unpivot(["second"], ["a", "b"], "feature", "x"))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (scaled, grid, ks)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # a join by the feature would put all of a feature's values in one task
+    assert all("SortMergeJoin [feature" not in s and "ShuffledHashJoin [feature" not in s for s in plans)
+    assert scaled.count() == 200 and grid.count() == 200 and {r.feature for r in ks.collect()} == {"a", "b"}
