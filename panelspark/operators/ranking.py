@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import correlation
+from panelspark.sources.scratch import kept
 
 c = F.col
 
@@ -20,8 +21,9 @@ def _doubles(panel: DataFrame, features: list[str]) -> DataFrame:
 def ranked(panel: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 3, seed: int = 0) -> DataFrame:
     """The panel's later half of days with a column predicted: boosted trees are fitted on the earlier half's rows that have a
     target; the half is one of days, so that no day is on both sides. Missing features take the column's median."""
+    panel = kept(_doubles(panel, features), "ranked")  # a fit passes over its rows again and again
     days = panel.select("trade_date").distinct().agg(F.percentile(F.unix_date("trade_date"), 0.5).alias("_mid"))
-    rows = _doubles(panel, features).join(F.broadcast(days)).withColumn("_early", F.unix_date("trade_date") <= c("_mid")).drop("_mid")
+    rows = panel.join(F.broadcast(days)).withColumn("_early", F.unix_date("trade_date") <= c("_mid")).drop("_mid")
     made = [f"_f{i}" for i in range(len(features))]
     stages = [Imputer(inputCols=features, outputCols=made, strategy="median"), VectorAssembler(inputCols=made, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="predicted", maxIter=trees, maxDepth=depth, seed=seed)]
     model = Pipeline(stages=stages).fit(rows.where(c("_early") & c(target).isNotNull()))
@@ -32,7 +34,8 @@ def importances(panel: DataFrame, features: list[str], target: str, trees: int =
     """(feature, forest, linear, correlated, consensus): importance in a random forest, size of the coefficient on
     standardised features, size of the correlation with the target, and the mean of the three ranks (1 is best). Only rows
     that have the target and all features take part; without a row the table is empty."""
-    rows = _doubles(panel, features).dropna(subset=[*features, target])
+    # stored, as each fit passes over its rows again and again, and would compute them anew each time
+    rows = kept(_doubles(panel, features).dropna(subset=[*features, target]).select(*features, target), "importances")
     if rows.isEmpty():
         return panel.sparkSession.createDataFrame([], "feature string, forest double, linear double, correlated double, consensus double")
     ready = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows)

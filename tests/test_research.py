@@ -276,3 +276,19 @@ def test_scalers_and_cuts_meet_rows_by_broadcast(spark):
     # a join by the feature would put all of a feature's values in one task
     assert all("SortMergeJoin [feature" not in s and "ShuffledHashJoin [feature" not in s for s in plans)
     assert scaled.count() == 200 and grid.count() == 200 and {r.feature for r in ks.collect()} == {"a", "b"}
+
+
+def test_fits_compute_their_rows_once(spark):
+    rng = np.random.default_rng(0)
+    rows = [(f"T{i % 5}", _day(i // 5), float(a), float(b), float(a + 0.1 * b)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    p = spark.createDataFrame(rows, "ticker string, trade_date date, a double, b double, t double")
+    p = p.mapInArrow(counted, p.schema)
+    assert ranking.importances(p, ["a", "b"], "t", trees=2, depth=2).count() == 2 and seen.value == 200
+    assert ranking.ranked(p, ["a", "b"], "t", trees=2, depth=2).count() == 100 and seen.value == 400
