@@ -57,7 +57,8 @@ class BlockWriter(DataSourceArrowWriter):
         place.create_dir(f"{root}/blocks", recursive=True)
         entries = []
         for batch in iterator:
-            for row in batch.to_pylist():
+            for at_block in range(batch.num_rows):  # a batch may hold all of a task's blocks, which as Python's numbers are many times larger
+                row = batch.slice(at_block, 1).to_pylist()[0]
                 values = np.full((len(self.features), self.days, self.names), np.nan)
                 mask = np.zeros((self.days, self.names), bool)
                 dates, tickers = np.full(self.days, -(1 << 31), np.int32), [""] * self.names

@@ -402,3 +402,20 @@ def test_portfolio_stream_goes_on_with_its_weights(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("strategy", "date").collect()
     assert [(r.strategy, r.date) for r in got] == [x[:2] for x in want]
     assert np.allclose([(r.cost, r.value, r.drawdown) for r in got], [x[2:] for x in want])
+
+
+def test_array_writer_unfolds_one_block_at_a_time(tmp_path):
+    class Batch:  # of the calls that a record batch has, those for the rows
+        def __init__(self, rows):
+            self.rows, self.num_rows = rows, len(rows)
+
+        def slice(self, at, n):
+            return Batch(self.rows[at : at + n])
+
+        def to_pylist(self):
+            assert self.num_rows == 1
+            return self.rows
+
+    block = lambda k: {"i": [0, 1], "j": [0, 0], "date": [dt.date(2020, 1, 1), dt.date(2020, 1, 2)], "ticker": [f"T{k}"] * 2, "x": [1.0, None]}
+    writer = arrays.BlockWriter({"path": f"file://{tmp_path}", "features": "x", "days": "2", "names": "1"}, True)
+    assert [(e["least"], e["cells"]) for e in writer.write(iter([Batch([block(k) for k in range(3)])])).entries] == [("T0", 2), ("T1", 2), ("T2", 2)]
