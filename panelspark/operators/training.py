@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import clip, correlation, filled
@@ -137,23 +137,34 @@ def concentration(weights: DataFrame) -> DataFrame:
 
 
 def market_forward(prices: DataFrame, days: int) -> DataFrame:
-    """forward: log return to the day that is so many market days later; null where the ticker has no price there."""
-    axis = prices.select("trade_date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("trade_date")))  # a row for each day
-    target = axis.select("trade_date", (c("_i") + days).alias("_i")).join(axis.withColumnRenamed("trade_date", "_then"), "_i").drop("_i")
-    later = prices.select("ticker", c("trade_date").alias("_then"), c("adj_close").alias("_later"))
-    met = prices.join(target, "trade_date", "left").join(later, ["ticker", "_then"], "left")
-    return met.withColumn("forward", F.when((c("adj_close") > 0) & (c("_later") > 0), F.log(c("_later") / c("adj_close")))).drop("_then", "_later")
+    """forward: log return to the day that is so many market days later; null where the ticker has no price there. A key is one
+    row, as in a panel. Days are numbered and sent to all tasks (a row for each day); a window by ticker over the numbers
+    finds the later price, so that prices don't meet themselves in a join."""
+    axis = prices.select("trade_date").distinct().where("trade_date IS NOT NULL").withColumn("_i", F.row_number().over(Window.orderBy("trade_date")))
+    met = prices.join(F.broadcast(axis), "trade_date", "left")
+    then = Window.partitionBy("ticker").orderBy("_i").rangeBetween(days, days)
+    met = met.withColumn("_later", F.when(c("_i").isNotNull() & c("ticker").isNotNull(), F.first("adj_close").over(then)))
+    return met.withColumn("forward", F.when((c("adj_close") > 0) & (c("_later") > 0), F.log(c("_later") / c("adj_close")))).drop("_i", "_later")
 
 
 def signal_report(panel: DataFrame, features: list[str], target: str, min_names: int = 10) -> DataFrame:
     """(feature, period, n, mean, std, t): rank correlations with the target by day, summed up over five years and (period
-    null) over all. All features are ranked in one long pass."""
-    long = panel.select("trade_date", c(target).alias("_t"), *[c(k).cast("double").alias(k) for k in features]).unpivot(["trade_date", "_t"], features, "feature", "x")
-    day = Window.partitionBy("trade_date", "feature")
-    rank = lambda k: F.when(c(k).isNotNull(), F.rank().over(day.orderBy(c(k).asc_nulls_last())) + (F.count(k).over(Window.partitionBy("trade_date", "feature", k)) - 1) / 2.0)
-    both = long.select("feature", "trade_date", rank("x").alias("_a"), rank("_t").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
-    ic = both.groupBy("feature", "trade_date").agg(F.count("*").alias("_n"), correlation("_a", "_b").alias("ic")).where((c("_n") >= min_names) & c("ic").isNotNull())
-    ic = ic.withColumn("period", (F.floor(F.year("trade_date") / 5) * 5).cast("int"))
+    null) over all. The target is ranked once by day, and all features in one long pass of narrow rows. An average rank is the
+    mean of the first and the last place of equal values, both in one order, so a task sorts its rows once in each pass."""
+
+    def rank(k: str, by: list[str]) -> Column:
+        order = Window.partitionBy(*by).orderBy(c(k).asc_nulls_last())
+        upto = F.count(k).over(order.rangeBetween(Window.unboundedPreceding, 0))
+        return F.when(c(k).isNotNull(), (F.rank().over(order) + upto) / 2.0)
+
+    wide = panel.select("trade_date", c(target).alias("_t"), *[c(k).cast("double").alias(f"_{i}") for i, k in enumerate(features)])
+    wide = wide.withColumn("_b", rank("_t", ["trade_date"]))
+    each = F.array(*[F.struct(F.lit(i).alias("_f"), c(f"_{i}").alias("x")) for i in range(len(features))])
+    # rows without a target rank too; a name is put back when a day's rows are one
+    long = wide.select("trade_date", "_b", F.explode(each).alias("_e")).select("trade_date", "_b", "_e.*").where("x IS NOT NULL")
+    both = long.withColumn("_a", rank("x", ["trade_date", "_f"])).where("_b IS NOT NULL")
+    ic = both.groupBy("_f", "trade_date").agg(F.count("*").alias("_n"), correlation("_a", "_b").alias("ic")).where((c("_n") >= min_names) & c("ic").isNotNull())
+    ic = ic.withColumn("feature", F.element_at(F.array(*map(F.lit, features)), c("_f") + 1)).withColumn("period", (F.floor(F.year("trade_date") / 5) * 5).cast("int"))
     out = ic.rollup("feature", "period").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std")).where("feature IS NOT NULL")
     return out.withColumn("t", F.try_divide(c("mean"), c("std") / F.sqrt("n")))
 
