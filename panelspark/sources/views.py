@@ -10,6 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Line items of a task, about, once they are dealt by ticker.
+PART_ROWS = 1 << 17
+
+
+def by_ticker(rows: DataFrame, n: int) -> DataFrame:
+    """Rows dealt by ticker, of a table of n rows, into parts whose number follows n; few rows are left to Spark's own number,
+    which it adapts. Tables of one n are dealt alike, so what belongs to a ticker meets without a further exchange, and line
+    items, of which few share a ticker and a day, aren't aggregated before they are dealt."""
+    parts = -(-n // PART_ROWS)
+    return rows.repartition(parts, "ticker") if parts > 8 else rows.repartition("ticker")
+
+
 def exact(x: Column, scale: int = 2) -> Column:
     """A sum that doesn't depend on the order of its rows."""
     return F.sum(x.cast(f"decimal(18,{scale})")).cast("double")
@@ -21,7 +33,8 @@ def _ticker(key: str) -> Column:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, trade_date, adj_close, close, high, low, volume: a supplier's line items by day."""
-    rows = table(spark, sf_dir, "lineitem").select(_ticker("l_suppkey"), F.to_date("l_shipdate").alias("trade_date"), F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q"))
+    items = table(spark, sf_dir, "lineitem")
+    rows = by_ticker(items.select(_ticker("l_suppkey"), F.to_date("l_shipdate").alias("trade_date"), F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q")), items.count())
     out = rows.groupBy("ticker", "trade_date").agg((exact(F.col("p")) / F.count("*")).alias("adj_close"), F.max("p").alias("high"), F.min("p").alias("low"), exact(F.col("q")).alias("volume"))
     return out.withColumn("close", F.col("adj_close"))
 
@@ -30,7 +43,8 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each ticker and quarter end, with levels and ratios made of the quarter's line items."""
     p, d, t = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     end = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2)).alias("reference_date")
-    base = table(spark, sf_dir, "lineitem").groupBy(_ticker("l_suppkey"), end).agg(
+    items = table(spark, sf_dir, "lineitem")
+    base = by_ticker(items.select(_ticker("l_suppkey"), end, "l_extendedprice", "l_discount", "l_tax", "l_quantity"), items.count()).groupBy("ticker", "reference_date").agg(
         exact(p).alias("g"), exact(p * (1 - d), 4).alias("net_revenue"), exact(p * (d - t), 4).alias("net_income"), exact(F.col("l_quantity")).alias("q"), F.count("*").alias("n")
     )
     c = F.col
@@ -57,9 +71,10 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, ex_date, value_per_share > 0."""
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F'")
+    items = table(spark, sf_dir, "lineitem")
+    paid = items.where("l_returnflag = 'R' AND l_linestatus = 'F'").select(_ticker("l_suppkey"), F.to_date("l_shipdate").alias("ex_date"), "l_extendedprice", "l_discount")
     value = (exact(F.col("l_extendedprice") * F.col("l_discount"), 4) / 1000).alias("value_per_share")
-    return rows.groupBy(_ticker("l_suppkey"), F.to_date("l_shipdate").alias("ex_date")).agg(value).where("value_per_share > 0")
+    return by_ticker(paid, items.count()).groupBy("ticker", "ex_date").agg(value).where("value_per_share > 0")
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
