@@ -236,8 +236,8 @@ def k01(s, d):
     return merged(p, p.where("year(trade_date) >= 1996").withColumn("adj_close", F.col("adj_close") * 2), ["ticker", "trade_date"])
 
 
-def panel(s: SparkSession, d: str, history: bool = True) -> DataFrame:
-    return build_panel(v.prices(s, d), v.filings(s, d), v.companies(s, d), v.macro(s, d), v.dividends(s, d), history=history)
+def panel(s: SparkSession, d: str, history: bool = True, cross: bool = True) -> DataFrame:
+    return build_panel(v.prices(s, d), v.filings(s, d), v.companies(s, d), v.macro(s, d), v.dividends(s, d), history=history, cross=cross)
 
 
 @query("p00_build_panel", "ticker trade_date reference_date sector div_count_12m days_since_fundamental", "log_return ma_20 drawdown pl pvp selic excess_return div_yield_12m momentum_vs_market_1m pvp_zscore_sector",
