@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.sources.scratch import kept
+
 c = F.col
 #: Distinct values of a group that a task sorts, about; cuts of a group at most.
 PART_VALUES, MOST_PARTS = 1 << 20, 10_000
@@ -14,10 +16,10 @@ def exact_quantiles(long: DataFrame, by: str, x: str, shares: list[float], part_
     """(by, n, n_distinct, quantiles): for each group of `by` the number of values, of distinct ones, and the quantiles at the
     shares, interpolated between neighbours. Null values don't count; a group of nulls has n 0 and null quantiles.
 
-    Values are counted first, then cut at approximate quantiles. The counts below the cuts tell in which cut each wanted rank
+    Values are counted first, and the counts stored, as each of the passes after reads them. They are cut at approximate quantiles. The counts below the cuts tell in which cut each wanted rank
     lies, and only those cuts are sorted, each by itself. The cuts don't change the result.
     """
-    counts = long.select(c(by).alias("_g"), c(x).cast("double").alias("_x")).groupBy("_g", "_x").agg(F.count("_x").alias("_n"))
+    counts = kept(long.select(c(by).alias("_g"), c(x).cast("double").alias("_x")).groupBy("_g", "_x").agg(F.count("_x").alias("_n")), "counts")
     sizes = counts.groupBy("_g").agg(F.sum("_n").alias("n"), F.sum(c("_x").isNotNull().cast("long")).alias("n_distinct"))
     most = sizes.agg(F.max("n_distinct")).first()[0] or 0
     parts = int(min(MOST_PARTS, max(1, -(-most // part_values))))
