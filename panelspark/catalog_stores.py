@@ -13,7 +13,7 @@ from panelspark.functions.columns import QUANTILE, TAIL, mapped
 from panelspark.operators import audit, features, grid, performance, quality, ranges, reports, significance, statements, training
 from panelspark.sources import arrays, files, outputs, router
 from panelspark.sources import views as v
-from panelspark.sources.scratch import scratch_dir
+from panelspark.sources.scratch import kept, scratch_dir
 from panelspark.streaming.store import Store
 
 c = F.col
@@ -23,7 +23,7 @@ c = F.col
        "SELECT ticker, trade_date, max(f) AS fetch, arg_max(adj_close + f, f) AS value FROM (SELECT *, unnest([1, 2, 3]) AS f FROM prices) WHERE ((trade_date - DATE '1970-01-01') + f) % 3 <> 0 GROUP BY ALL")
 def st3(s, d):
     """Three fetches of the prices, each without a third of the days, arrive as the third, the first and the second."""
-    prices = v.prices(s, d).select("ticker", "trade_date", "adj_close")
+    prices = kept(v.prices(s, d).select("ticker", "trade_date", "adj_close"), "prices")
     store = Store(s, scratch_dir(s, "fetches"), ["ticker", "trade_date"], 8)
     for fetch in (3, 1, 2):
         rows = prices.where((F.datediff("trade_date", F.lit("1970-01-01").cast("date")) + fetch) % 3 != 0)

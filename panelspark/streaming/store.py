@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 SEQUENCE, PART = "_sequence", "_part"
+#: Rows of a file, about, where a writer leaves their number to the store.
+FILE_ROWS = 1 << 20
 
 
 class Conflict(RuntimeError):
@@ -88,10 +90,10 @@ class Store:
             raise ValueError(f"nothing is stored at {self.path}")
         return self._read(manifest).drop(SEQUENCE)
 
-    def upsert(self, rows: DataFrame, sequence: str | int, files: int = 1, tries: int = 5) -> int:
+    def upsert(self, rows: DataFrame, sequence: str | int, files: int | None = None, tries: int = 5) -> int:
         """Merges rows in and returns the version made. sequence: the column of the fetch sequence, or one number for all rows.
         Columns new to the table are null in its old rows, and columns that rows lack in the new ones. A partition is written
-        by `files` tasks, by a further hash of the keys. Against another writer the merge is done again on what that one left.
+        by `files` tasks, by a further hash of the keys; without a number, by as many as its rows ask for. Against another writer the merge is done again on what that one left.
         """
         order = F.col(sequence).cast("long") if isinstance(sequence, str) else F.lit(sequence).cast("long")
         new = latest(rows.withColumn(SEQUENCE, order), self.keys).withColumn(PART, F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int"))
@@ -109,17 +111,19 @@ class Store:
         finally:
             self._fs.delete(self._path(f"{self.path}/{folder}"), True)
 
-    def _merge(self, new: DataFrame, touched: list[int], files: int) -> int:
+    def _merge(self, new: DataFrame, touched: list[int], files: int | None) -> int:
         manifest = self.manifest() or {"version": 0, "folders": {}, "keys": self.keys, "parts": self.parts}
         if not touched:
             return manifest["version"]
-        both = new
+        both, files = new, files or -(-(new.count() + (self._read(manifest, touched).count() if manifest["folders"] else 0)) // (FILE_ROWS * len(touched)))
         if manifest["folders"]:
             old = self._read(manifest, touched).withColumn(PART, F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int"))
             both = old.unionByName(new, allowMissingColumns=True)
-        both = latest(both, [PART, *self.keys])
+            both = latest(both, [PART, *self.keys])  # incoming rows alone are so already
         place = f"data/{uuid.uuid4().hex}"
-        both.repartition(PART, F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(files))).write.partitionBy(PART).parquet(f"{self.path}/{place}")
+        part = F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(files))
+        dealt = both.repartition(PART, part) if files == 1 else both.repartition(files * len(touched), PART, part)
+        dealt.write.partitionBy(PART).parquet(f"{self.path}/{place}")
         fields = [f for f in both.schema.fields if f.name not in (PART, SEQUENCE)]
         schema = StructType([*(StructField(f.name, f.dataType) for f in fields), StructField(SEQUENCE, LongType())])
         version = manifest["version"] + 1
@@ -145,7 +149,7 @@ class Store:
         return gone
 
 
-def stream_into(spark: SparkSession, source: str, schema, store: Store, checkpoint: str, sequence: str | None = None, files: int = 1) -> None:
+def stream_into(spark: SparkSession, source: str, schema, store: Store, checkpoint: str, sequence: str | None = None, files: int | None = None) -> None:
     """Loads the new Parquet files of a folder into a store and returns when all are loaded. Without a column of the fetch
     sequence a later batch wins. A batch that runs again has the same sequence as before, so the table stays the same."""
 
