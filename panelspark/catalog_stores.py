@@ -254,8 +254,8 @@ def s01(s, d):
 def s08(s, d):
     """The tickers of a folder of files, by their names."""
     path = scratch_dir(s, "named")
-    v.prices(s, d).repartition("ticker").write.partitionBy("ticker").parquet(path)
-    return files.tickers_of_files(s, path, r"ticker=([^/]+)/[^/]+\.parquet$").select("ticker").distinct()
+    outputs.write_by_ticker(v.prices(s, d), path)
+    return files.tickers_of_files(s, path, r"ticker=([^/]+)\.parquet$").select(F.nullif("ticker", F.lit(outputs.NO_TICKER)).alias("ticker")).distinct()
 
 
 @query("s09_logs", "run file_is_json", "log_return", "SELECT strategy AS run, true AS file_is_json, sum(ln(1 + r)) AS log_return FROM m GROUP BY strategy", _M)

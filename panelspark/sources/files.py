@@ -49,7 +49,7 @@ def tickers_of_files(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.p
     """(ticker, file, bytes) of a folder's files by their names alone: the scan lists files and opens none, so that a broken or
     unreadable body is listed too. Names that don't fit the pattern, of which the first group is the ticker, are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    name = F.regexp_extract(F.url_decode("path"), pattern, 1)
+    name = F.url_decode(F.regexp_extract("path", pattern, 1))
     return found.select(name.alias("ticker"), c("path").alias("file"), c("length").alias("bytes")).where("ticker <> ''")
 
 
