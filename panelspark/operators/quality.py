@@ -109,7 +109,8 @@ def panel_findings(panel: DataFrame, critical: list[str], features: list[str]) -
 def panel_gate(panel: DataFrame, critical: list[str]) -> DataFrame:
     """(check, value, passed): span in years, tickers with 252 rows, repeated keys, rows that use a later filing, share of
     nulls in critical columns after a filing, mean log return, sectors, and the largest sector's share of tickers. What can't
-    be taken of an empty panel is null and not passed. The panel is reduced to a row a ticker first."""
+    be taken of an empty panel is null and not passed. The panel is reduced to a row a ticker first, then to one a
+    sector, in one pass."""
     nulls = sum((c(k).isNull().cast("int") for k in critical), F.lit(0)) / F.lit(float(max(len(critical), 1)))
     filed = c("reference_date").isNotNull()
     day = panel.groupBy("ticker", "trade_date").agg(
@@ -117,11 +118,12 @@ def panel_gate(panel: DataFrame, critical: list[str]) -> DataFrame:
         F.sum(filed.cast("long")).alias("_filed"), F.sum("log_return").alias("_r"), F.count("log_return").alias("_k"),
     )
     one = day.groupBy("ticker").agg(F.min("trade_date").alias("_a"), F.max("trade_date").alias("_b"), F.max("sector").alias("sector"), F.sum("_n").alias("_rows"), F.sum(c("_n") - 1).alias("_dup"), *[F.sum(k).alias(k) for k in ("_ahead", "_nulls", "_filed", "_r", "_k")])
-    sector = one.where("sector IS NOT NULL").groupBy("sector").agg(F.count("*").alias("_t")).agg(F.count("*").cast("double").alias("sectors"), F.try_divide(F.max("_t"), F.sum("_t")).alias("largest_sector"))
-    row = one.agg(
-        (F.datediff(F.max("_b"), F.min("_a")) / 365.25).alias("span_years"), F.sum((c("_rows") >= 252).cast("double")).alias("long_tickers"), F.sum("_dup").cast("double").alias("duplicate_keys"), F.coalesce(F.sum("_ahead"), F.lit(0)).cast("double").alias("look_ahead"),
-        F.try_divide(F.sum("_nulls"), F.sum("_filed")).alias("null_after_filing"), F.try_divide(F.sum("_r"), F.sum("_k")).alias("mean_return"),
-    ).join(F.broadcast(sector))
+    by = one.groupBy("sector").agg(F.count("*").alias("_t"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum((c("_rows") >= 252).cast("long")).alias("_long"), *[F.sum(k).alias(k) for k in ("_dup", "_ahead", "_nulls", "_filed", "_r", "_k")])
+    named = F.when(c("sector").isNotNull(), c("_t"))
+    row = by.agg(
+        (F.datediff(F.max("_b"), F.min("_a")) / 365.25).alias("span_years"), F.sum("_long").cast("double").alias("long_tickers"), F.sum("_dup").cast("double").alias("duplicate_keys"), F.coalesce(F.sum("_ahead"), F.lit(0)).cast("double").alias("look_ahead"),
+        F.try_divide(F.sum("_nulls"), F.sum("_filed")).alias("null_after_filing"), F.try_divide(F.sum("_r"), F.sum("_k")).alias("mean_return"), F.count("sector").cast("double").alias("sectors"), F.try_divide(F.max(named), F.sum(named)).alias("largest_sector"),
+    )
     v = c("value")
     passed = F.when(c("check") == "span_years", v >= 2).when(c("check") == "long_tickers", v >= 20).when(c("check").isin("duplicate_keys", "look_ahead"), v == 0).when(c("check") == "null_after_filing", v < 0.1)
     passed = passed.when(c("check") == "mean_return", F.abs(v) < 0.1).when(c("check") == "sectors", v >= 3).otherwise(v < 0.4)
